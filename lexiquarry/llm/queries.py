@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import pii, simhash
+from lexiquarry.llm import mixing, packing, pii, simhash
 from lexiquarry.llm.common import table
 
 
@@ -31,5 +31,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_golay, op9_pii)}
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_golay, op6_best_two_fit, op9_pii, op10_sainte_lague)}
 ORACLE_SQL: dict[str, str] = {}
