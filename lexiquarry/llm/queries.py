@@ -7,10 +7,18 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import mixing, packing, pii, simhash
+from lexiquarry.llm import langid, mixing, packing, pii, simhash, toxicity
 from lexiquarry.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,5 +47,5 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_golay, op6_best_two_fit, op9_pii, op10_sainte_lague)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_simhash_golay, op6_best_two_fit, op9_pii, op10_sainte_lague)}
 ORACLE_SQL: dict[str, str] = {}
