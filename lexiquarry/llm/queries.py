@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import langid, mixing, packing, pii, simhash, toxicity
+from lexiquarry.llm import fingerprints, knn, langid, mixing, packing, pii, simhash, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def _listed(kind: str, span: Column) -> Column:
     return F.concat_ws(":", F.lit(kind), span["start"], span["end"])
 
@@ -39,6 +43,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -47,5 +55,18 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_simhash_golay, op6_best_two_fit, op9_pii, op10_sainte_lague)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_simhash_golay, op5_voronoi_knn, op6_best_two_fit, op8_prefix_hashes, op9_pii, op10_sainte_lague)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_voronoi_knn": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        ), s AS (
+            SELECT q.vec_id AS query_id, o.vec_id, list_inner_product(q.e, o.e)::BIGINT AS score
+            FROM v q JOIN v o ON q.vec_id % 20 = 0 AND o.vec_id <> q.vec_id
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
