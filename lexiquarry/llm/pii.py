@@ -143,7 +143,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
     if joint.isEmpty():
         flagged = joint.select("entity", "term")
     else:
-        of_term = words.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+        of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
         n = F.lit(float(total))
         gives = F.log2(n * F.col("both") / (F.col("n_term") * F.col("n_entity"))) >= F.lit(discloses) * F.log2(n / F.col("n_entity"))
         flagged = joint.join(of_entity, "entity").join(of_term, "term").where(gives & (F.col("n_entity") < n)).select("entity", "term")
