@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import fingerprints, knn, langid, mixing, packing, pii, simhash, toxicity
+from lexiquarry.llm import fingerprints, knn, langid, mixing, packing, passages, pii, simhash, substrings, toxicity
 from lexiquarry.llm.common import table
 
 
@@ -19,11 +19,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op4_simhash_golay, op5_voronoi_knn, op6_best_two_fit, op8_prefix_hashes, op9_pii, op10_sainte_lague)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_toxicity, op3_suffix_arrays, op4_simhash_golay, op5_voronoi_knn, op6_best_two_fit, op7_suffix_trees, op8_prefix_hashes, op9_pii, op10_sainte_lague)}
 ORACLE_SQL: dict[str, str] = {
     "op5_voronoi_knn": """
         WITH v AS (
