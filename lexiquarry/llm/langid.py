@@ -131,8 +131,8 @@ def predict_one(model: Model, text: str | None) -> tuple[str, float]:
     return langs[0], float(score[0])
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, lang_pred, score (0 to 1).
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of df: doc_id, the columns to keep, lang_pred, score (0 to 1).
 
     A null text, or one without letters, is ``und`` with score 0; so is every text if the model has no languages. Equal
     scores go to the first language by code point. Repeated rows and null ids are kept; no rows give no rows.
@@ -145,16 +145,16 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part, _, _ in slices(batches, "text", 4 << 20):
             split = pc.split_pattern_regex(pc.utf8_lower(part.column("text")), NOT_LETTERS)
             coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
-            own = coded.dictionary.to_pylist()
+            known = coded.dictionary.to_pylist()
             if len(m.cache) > CACHED:
                 m.cache.clear()
-            table = np.zeros((len(own), width))
-            for i, w in enumerate(own):
+            table = np.zeros((len(known), width))
+            for i, w in enumerate(known):
                 if w:
                     if (row := m.cache.get(w)) is None:
                         row = m.cache[w] = m.score(w)
                     table[i] = row
-            real = np.array([bool(w) for w in own], dtype=np.int64)
+            real = np.array([bool(w) for w in known], dtype=np.int64)
             code = coded.indices.to_numpy(zero_copy_only=False)
             at = split.offsets.to_numpy()
             at = at - at[0]
@@ -162,10 +162,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             np.cumsum(table[code], axis=0, out=run_sums[1:])
             count = np.concatenate(([0], np.cumsum(real[code]))) if len(code) else np.zeros(1, np.int64)
             langs, score = decide(m.langs, run_sums[at[1:]] - run_sums[at[:-1]], count[at[1:]] - count[at[:-1]])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(langs, pa.string()), pa.array(score)], [*own, "lang_pred", "score"])
 
-    rows = texts(df, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    own = ["doc_id", *keep]
+    rows = texts(df, id_col, text_col, tuple(k for k in keep if k != "text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -12,7 +12,7 @@ import heapq
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import WORD
@@ -66,8 +66,8 @@ def _blocks(words: int) -> int:
     return min(BLOCKS, 1 << (words.bit_length() - 1)) if words else 0
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False, seed: int = SEED) -> DataFrame:
-    """One row for each row of df: doc_id, [text,] source, size, source_size, target, taken, copies, extra.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
+    """One row for each row of df: doc_id, the columns to keep, source, size, source_size, target, taken, copies, extra.
 
     The mix takes the whole document ``copies`` times and the word ranges [start, end) of ``extra`` once more; taken
     counts those words. Null texts have size 0; a null source is a source of its own, the last; null ids and repeated
@@ -75,7 +75,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     row for each source and at most ``MAX_SHARDS`` for each source's shards.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("text")] if keep_text else []), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
     totals = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s if s is not None else ""))
     sizes = [totals[s] for s in names]
@@ -108,7 +108,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     extra = F.transform(drawn, lambda j: F.struct((F.greatest(edge(j), F.col("at")) - F.col("at")).alias("start"), (F.least(edge(j + 1), F.col("upto")) - F.col("at")).alias("end")))
     placed = placed.withColumn("extra", extra).withColumn("copies", F.when(F.col("n") > 0, F.floor(F.col("draws") / F.col("n"))).otherwise(0).cast("int"))
     taken = F.col("copies") * F.col("size") + F.aggregate("extra", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return placed.select("doc_id", *(["text"] if keep_text else []), "source", "size", "source_size", "target", taken.alias("taken"), "copies", "extra")
+    return placed.select("doc_id", *keep, "source", "size", "source_size", "target", taken.alias("taken"), "copies", "extra")
+
+
+def taken_text() -> Column:
+    """The texts that the mix takes of a row of ``mix`` that kept its text, as an array: whole copies, then the rest."""
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    parts = F.transform("extra", lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), " "))
+    rest = F.when(F.size("extra") > 0, F.array(F.array_join(parts, "\n"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_repeat("text", F.col("copies")), rest)
 
 
 def _grouped(held: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:

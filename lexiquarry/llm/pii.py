@@ -124,13 +124,31 @@ def neighbours(found: DataFrame, reach: int) -> DataFrame:
     return rows.where(clear & F.col("word.term").rlike(r"\p{L}") & (F.length("word.term") <= 63)).select("doc_id", "at", "entity", "word.term", "word.start", "word.end")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
-    """One row for each row of df: doc_id, text, an array of spans for each base kind, and ``term`` spans.
+def _marked(kind: str, span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("mark"))
+
+
+def _sewn(acc: Column, span: Column) -> Column:
+    fresh = span["start"] >= acc["at"]
+    before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
+    return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, span["mark"])).otherwise(acc["out"]).alias("out"))
+
+
+def redacted() -> Column:
+    """The text of a row that ``find`` gave, its spans replaced by their kinds; a span that begins in another goes with it."""
+    every = F.array_sort(F.concat(*(F.transform(kind, partial(_marked, kind)) for kind in (*KINDS, "term"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    sewn = F.aggregate(every, start, _sewn, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return F.when(F.size(every) == 0, F.col("text")).otherwise(sewn)
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, discloses: float = DISCLOSES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of df: doc_id, text, the columns to keep, an array of spans for each base kind, and ``term`` spans.
 
     Null and empty texts have no spans. Repeated rows each get a row with the same spans; null ids are kept. Terms are
     judged over the whole corpus, so equal texts have equal spans. No rows give no rows; other columns aren't read.
     """
-    rows = base_spans(texts(df, id_col, text_col).withColumn("at", F.xxhash64("text")))
+    rows = base_spans(texts(df, id_col, text_col, keep).withColumn("at", F.xxhash64("text")))
     held = materialise(rows.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0), "private")
     every = F.concat(*(F.transform(kind, _ends) for kind in KINDS))
     beside = materialise(neighbours(held.withColumn("entity_spans", every), reach), "beside")
@@ -149,4 +167,4 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
         flagged = joint.join(of_entity, "entity").join(of_term, "term").where(gives & (F.col("n_entity") < n)).select("entity", "term")
     extra = beside.join(flagged, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("term"))
     out = rows.join(extra, rows["doc_id"].eqNullSafe(extra["_id"]) & (rows["at"] == extra["_at"]), "left")
-    return out.select("doc_id", "text", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+    return out.select("doc_id", "text", *keep, *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))

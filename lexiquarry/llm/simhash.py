@@ -48,17 +48,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long): the signed form of the 64-bit SimHash of each row's whole text. Null texts count as empty."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to keep, fp long): the signed form of the 64-bit SimHash of each row's whole text. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in slices(batches, "text"):
             data = ASCII_LOWER[data]
             fps = [majority(shingle_hashes(data[s:e].tobytes(), size)) for s, e in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], [*own, "fp"])
 
-    rows = texts(df, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    own = ["doc_id", *keep]
+    rows = texts(df, id_col, text_col, tuple(k for k in keep if k != "text"))
+    return rows.mapInArrow(run, f"{', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in own)}, fp long")
 
 
 def fuzzy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +178,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows' ids are). No rows give no rows; columns other than the two named are not read.
     """
     rows = materialise(fingerprints(df, id_col, text_col, size), "fingerprints")
+    return rows.join(classes(rows), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(doc_id, fp) to (fp, component_id), a row for each fingerprint."""
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    return grouped.join(named, "root").select("fp", "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns to keep of one row of each class of near duplicates: the smallest id's, and of its
+    rows the one of the least text hash. A class without any id keeps a row too."""
+    rows = fingerprints(df, id_col, text_col, size, ("text", *keep)).withColumn("uid", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("tie", F.xxhash64("text")), "fingerprints")  # and so uid is fixed
+    own = rows.select("doc_id", "fp", "tie", "uid")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "uid")
+    kept = own.join(classes(own), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp_")).agg(F.min(first)["uid"].alias("uid"))
+    return rows.join(kept.select("uid"), "uid", "left_semi").select("doc_id", "text", *keep)
