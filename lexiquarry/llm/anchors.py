@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import mix, slices, text_bytes, texts
+from lexiquarry.llm.common import mix, slices, texts
 
 NO_ID = np.iinfo(np.int64).max
 SPANS, ASKED, DOCUMENTS = 0, 1, 2
@@ -211,10 +211,15 @@ def packed(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.mapInArrow(run, BLOBS)
 
 
-def meet(docs: DataFrame, records: DataFrame, dtype: np.dtype, chunks: int, parts: int, visit: Callable, schema: str) -> DataFrame:
+#: Bytes of records held back so that they leave in few blobs.
+HELD_BYTES = 32 << 20
+
+
+def meet(docs: DataFrame, records: DataFrame, dtype: np.dtype, chunks: int, parts: int, visit: Callable, schema: str, deal: Callable | None = None) -> DataFrame:
     """Brings documents and records of their (doc, tie) together.
 
-    visit(doc ids, data, offsets, records of each document or None) gives a record batch, for a piece of documents.
+    visit(doc ids, data, offsets, records of each document or None) gives a record batch for a piece of documents, or,
+    with deal, an array of records; deal then makes a record batch of a chunk's arrays.
     """
     rows = packed(docs, chunks).unionByName(records)
 
@@ -224,14 +229,25 @@ def meet(docs: DataFrame, records: DataFrame, dtype: np.dtype, chunks: int, part
             rec = np.concatenate(found) if found else np.zeros(0, dtype=dtype)
             rec = rec[np.lexsort((rec["tie"], rec["doc"]))]
             edge = starts_of(rec["doc"], rec["tie"]) if len(rec) else np.zeros(0, int)
+            kept: list[np.ndarray] = []
             where = {(int(rec["doc"][s]), int(rec["tie"][s])): rec[s:e] for s, e in zip(edge, np.append(edge[1:], len(rec)))}
             for k, blob in held:
                 if k != DOCUMENTS:
                     continue
                 for part, data, offsets in slices(pa.ipc.open_stream(blob), "text"):
                     ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                    if (out := visit(ids, data, offsets, [where.get(x) for x in zip(ids.tolist(), ties(data, offsets).tolist())])) is not None:
+                    out = visit(ids, data, offsets, [where.get(x) for x in zip(ids.tolist(), ties(data, offsets).tolist())])
+                    if out is None:
+                        continue
+                    if deal is None:
                         yield out
+                        continue
+                    kept.append(out)
+                    if sum(x.nbytes for x in kept) > HELD_BYTES:
+                        yield deal(np.concatenate(kept))
+                        kept = []
+            if kept:
+                yield deal(np.concatenate(kept))
 
     return rows.repartition(parts, "c").sortWithinPartitions("c", "kind").mapInArrow(run, schema)
 
@@ -323,5 +339,5 @@ def union(spans: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return start[at], end[np.append(at[1:], len(start)) - 1]
 
 
-def bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_bytes(batch.column("text"))
+def by_key(records: np.ndarray, shards: int) -> pa.RecordBatch:
+    return blobs(list(by_chunk(0, records, shards, (records["key"] % np.uint64(shards)).astype(np.int32))))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows. Words are equal if their 32-bit hashes are equal through a whole window, or a run's 96-bit fingerprint is.
     """
     parts = parts_for(df)
-    shards = chunks = 2 * parts
+    shards = chunks = parts
     docs = A.numbered(df, id_col, text_col)
     gram, most = min(GRAM, window), window - min(GRAM, window)
     record = np.dtype([*A.ASK.descr, ("left", "<u4", (max(most, 1),)), ("right", "<u4", (window,))])
     flags = materialise(A.judged(A.sampled(docs, _units, gram, window, shards), window, chunks, parts, earlier_only=True), "runs")
 
-    def context(ids, data, offsets, asked) -> pa.RecordBatch | None:
+    def context(ids, data, offsets, asked) -> np.ndarray | None:
         rows = [(i, a) for i, a in enumerate(asked) if a is not None]
         if not rows:
             return None
@@ -73,9 +74,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left, right = at - 1 - np.arange(max(most, 1))[None, :], at + np.arange(window)[None, :]
         out["left"] = words[np.where(left >= base[:, None], left, len(starts))]
         out["right"] = words[np.where(right < last[:, None], right, len(starts))]
-        return A.blobs(list(A.by_chunk(0, out, shards, (out["key"] % np.uint64(shards)).astype(np.int32))))
+        return out
 
-    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS)
+    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS, deal=partial(A.by_key, shards=shards))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in A.grouped(batches):

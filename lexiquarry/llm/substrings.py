@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +77,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no rows. Strings are equal if their bytes are, or their runs' 96-bit fingerprints.
     """
     parts = parts_for(df)
-    shards = chunks = 2 * parts
+    shards = chunks = parts
     docs = A.numbered(df, id_col, text_col)
     gram, most = min(GRAM, length), length - min(GRAM, length)
     record = np.dtype([*A.ASK.descr, ("left", "u1", (most,)), ("right", "u1", (length,))])
     flags = materialise(A.judged(A.sampled(docs, _units, gram, length, shards), length, chunks, parts, earlier_only=False), "runs")
 
-    def context(ids, data, offsets, asked) -> pa.RecordBatch | None:
+    def context(ids, data, offsets, asked) -> np.ndarray | None:
         rows = [(i, a) for i, a in enumerate(asked) if a is not None]
         if not rows:
             return None
@@ -97,9 +98,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left, right = at - 1 - np.arange(most)[None, :], at + np.arange(length)[None, :]
         out["left"] = padded[np.where(left >= base[:, None], left, len(data))]
         out["right"] = padded[np.where(right < ends[:, None], right, len(data))]
-        return A.blobs(list(A.by_chunk(0, out, shards, (out["key"] % np.uint64(shards)).astype(np.int32))))
+        return out
 
-    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS)
+    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS, deal=partial(A.by_key, shards=shards))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in A.grouped(batches):
