@@ -119,7 +119,7 @@ def _dealt(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = texts(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     cuts = sorted({float(c) for c in df.select(F.col(id_col).cast("double").alias("id")).where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     rows = rows.withColumn("id_", F.col("doc_id").cast("double"))
-    rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="id_", outputCol="slot_", handleInvalid="keep").transform(rows)
+    rows = rows.withColumn("slot_", F.lit(0.0)) if not cuts else Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="id_", outputCol="slot_", handleInvalid="keep").transform(rows)
     # ascending ids have ascending slots; descending ids need ascending buckets; null ids come last
     slots = len(cuts) + 1
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(slots)).otherwise(F.lit(slots - 1) - F.col("slot_").cast("int"))).drop("id_", "slot_")

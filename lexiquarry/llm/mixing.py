@@ -70,7 +70,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """One row for each row of df: doc_id, the columns to keep, source, size, source_size, target, taken, copies, extra.
 
     The mix takes the whole document ``copies`` times and the word ranges [start, end) of ``extra`` once more; taken
-    counts those words. Null texts have size 0; a null source is a source of its own, the last; null ids and repeated
+    counts those words. Texts without words, null ones too, have size 0 and aren't taken; a null source is a source of its own, the last; null ids and repeated
     rows are rows like any other. The same rows give the same mix. No rows give no rows. What the driver gathers is a
     row for each source and at most ``MAX_SHARDS`` for each source's shards.
     """
@@ -106,7 +106,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     drawn = F.filter(touched, lambda j: F.pmod(j * F.col("turn") + F.col("shift"), F.col("n")) < F.col("draws") % F.col("n"))
     edge = lambda j: F.call_function("div", j * F.col("words"), F.col("n").cast("long"))
     extra = F.transform(drawn, lambda j: F.struct((F.greatest(edge(j), F.col("at")) - F.col("at")).alias("start"), (F.least(edge(j + 1), F.col("upto")) - F.col("at")).alias("end")))
-    placed = placed.withColumn("extra", extra).withColumn("copies", F.when(F.col("n") > 0, F.floor(F.col("draws") / F.col("n"))).otherwise(0).cast("int"))
+    placed = placed.withColumn("extra", extra).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("draws") / F.col("n"))).otherwise(0).cast("int"))
     taken = F.col("copies") * F.col("size") + F.aggregate("extra", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return placed.select("doc_id", *keep, "source", "size", "source_size", "target", taken.alias("taken"), "copies", "extra")
 

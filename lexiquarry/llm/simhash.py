@@ -98,7 +98,7 @@ def fuzzy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= MOST_BITS
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= MOST_BITS  # of a signed number it would count the magnitude's bits
 
 
 def _tree(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,12 +182,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp) to (fp, component_id), a row for each fingerprint."""
+    """(doc_id, fp) to (fp, root, component_id), a row for each fingerprint; a class has one root, and its least id."""
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return grouped.join(named, "root").select("fp", "component_id")
+    return grouped.join(named, "root").select("fp", "root", "component_id")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -197,5 +197,5 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialise(rows.withColumn("tie", F.xxhash64("text")), "fingerprints")  # and so uid is fixed
     own = rows.select("doc_id", "fp", "tie", "uid")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "uid")
-    kept = own.join(classes(own), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp_")).agg(F.min(first)["uid"].alias("uid"))
+    kept = own.join(classes(own), "fp").groupBy("root").agg(F.min(first)["uid"].alias("uid"))
     return rows.join(kept.select("uid"), "uid", "left_semi").select("doc_id", "text", *keep)
