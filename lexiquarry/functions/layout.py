@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiquarry.functions.python import abbreviations
+
 MAX_PAGES, SMALL_PRINT = 80, 0.62
 #: Fixed list: what a section's heading may say.
 SECTION_WORDS = frozenset(
@@ -247,6 +249,12 @@ def front_matter(lines: list[dict], fallback: str = "Untitled paper") -> dict:
     return {"title": title if len(title) > 5 else fallback, "authors": [n for n in names if len(n.split()) > 1][:25]}
 
 
+def glossary(text: str) -> str:
+    """A section of the abbreviations that a text defines; empty if there are fewer than two."""
+    found = abbreviations(text)
+    return "## Glossary\n\n" + "\n".join(f"- **{x['abbreviation']}**: {x['expansion']}" for x in found) if len(found) >= 2 else ""
+
+
 def convert(spans: pd.DataFrame) -> dict:
     """One document's spans (page, text, x, y, width, height, bold, page_width) to Markdown, counts, title and authors."""
     pages = []
@@ -257,6 +265,7 @@ def convert(spans: pd.DataFrame) -> dict:
     least = SMALL_PRINT * median(sizes) if sizes else 0
     lines = [x for p in pages for x in p if masked(x["text"]) not in heads and x["size"] >= least]
     text, counts = to_markdown(lines)
+    text = "\n\n".join(filter(None, (text, glossary(text))))
     return {"markdown": text, **counts, **front_matter(lines)}
 
 

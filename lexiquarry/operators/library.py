@@ -84,3 +84,26 @@ def install_bundled(bundled: DataFrame, sets: DataFrame, tombstones: DataFrame)
 def counts(sets: DataFrame) -> DataFrame:
     paper = T.is_paper(F.col("id"))
     return sets.agg(F.count_if(paper).alias("papers"), F.count_if(~paper).alias("notes"))
+
+
+def record_meta(records: DataFrame) -> DataFrame:
+    """Search records (pmid, pmcid, doi, title, author_string, journal, pub_year) as metadata of an article."""
+    authors = F.filter(F.transform(F.split(F.regexp_replace("author_string", r"\.$", ""), r",\s*"), lambda a: F.trim(a)), lambda a: a != "")
+    title = F.regexp_replace(F.coalesce("title", F.lit("Untitled paper")), r"\s*\.$", "")
+    return records.select("pmid", "pmcid", "doi", title.alias("title"), authors.alias("authors"), "journal", F.col("pub_year").cast("string").alias("year"))
+
+
+def route_imports(pastes: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ids and route: what a paste holds decides between an error, one lookup and a bulk import."""
+    rows = pastes.withColumn("ids", T.parse_paper_ids(F.col(text_col)))
+    one = T.parse_paper_id(F.col(text_col))
+    rows = rows.withColumn("ids", F.when((F.size("ids") == 0) & one.isNotNull(), F.array(one)).otherwise(F.col("ids")))
+    return rows.withColumn("route", F.when(F.size("ids") == 0, "error").when(F.size("ids") == 1, "lookup").otherwise("bulk"))
+
+
+def answer_events(submits: DataFrame) -> DataFrame:
+    """Submitted answers (set_id, card_id, given, expected, ts) as progress events."""
+    from lexiquarry.functions.python import check_answer
+
+    checked = submits.withColumn("_c", check_answer(F.col("given"), F.col("expected")))
+    return checked.select("set_id", "card_id", F.col("_c.correct").alias("correct"), F.col("_c.close").alias("close"), "ts")

@@ -141,6 +141,19 @@ def fold_floats(blocks) -> list[dict]:
     return found
 
 
+def known_bold(blocks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, pos, text) of bold runs that are a known term of their document: a semi-join on the normalised key."""
+    runs = blocks.select("doc_id", "pos", F.explode(F.filter("inlines", lambda r: r["kind"] == "bold")).alias("r")).select("doc_id", "pos", "r.text")
+    keys = terms.select("doc_id", T.normalize_key(F.col("term")).alias("_key"))
+    return runs.withColumn("_key", T.normalize_key(F.col("text"))).join(keys, ["doc_id", "_key"], "left_semi").select("doc_id", "pos", "text")
+
+
+def view_counts(floats_: DataFrame, supplements_: DataFrame, availability_: DataFrame) -> DataFrame:
+    """How many items of each kind a document's data view has."""
+    kinds = [floats_.select("doc_id", "kind"), supplements_.select("doc_id", F.lit("supplement").alias("kind")), availability_.select("doc_id", F.lit("availability").alias("kind"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
 @vectorised(f"array<{FLOAT}>")
 def floats_of(blocks: pd.Series) -> pd.Series:
     return blocks.map(fold_floats)

@@ -264,3 +264,26 @@ def test_mastery_stream(spark, tmp_path):
     last = spark.table("mastery").orderBy(F.desc("seen")).first()
     batch = progress.boxes(spark.createDataFrame(data, feeds.ANSWER), ["set_id", "card_id"]).first()
     assert (last.box, last.seen, last.correct, last.wrong, last.last) == (batch.box, batch.seen, batch.correct, batch.wrong, batch.last) == (2, 4, 3, 1, 4)
+
+
+def test_small_operators(spark):
+    made = note(spark)
+    assert {r.text for r in views.known_bold(made["blocks"], made["terms"]).collect()} == {"Albedo", "albedo"}
+    routes = library.route_imports(spark.createDataFrame([("nothing",), ("PMID: 31000001",), ("31000001 and PMC400002",), ("12",)], "text string"))
+    assert [r.route for r in routes.collect()] == ["error", "lookup", "bulk", "lookup"]
+    record = spark.createDataFrame([("1", None, None, "A title.", "Roe A, Doe B.", "J", 2020)], "pmid string, pmcid string, doi string, title string, author_string string, journal string, pub_year int")
+    meta = library.record_meta(record).first()
+    assert (meta.title, meta.authors, meta.year) == ("A title", ["Roe A", "Doe B"], "2020")
+    given = spark.createDataFrame([("s", "c", "ribosme", "ribosome", 5)], "set_id string, card_id string, given string, expected string, ts bigint")
+    assert library.answer_events(given).first().correct
+    abstract = "Author information: " + "x " * 200 + "\n\n" + "A long paragraph. " * 15 + "\n\nShort."
+    assert spark.range(1).select(readers.best_abstract(F.lit(abstract)).alias("a")).first().a.startswith("A long paragraph.")
+    a, b = (spark.createDataFrame(rows, "id string, x string, y string") for rows in ([("1", None, "a")], [("1", "b", "c"), ("2", "d", None)]))
+    assert {tuple(r) for r in readers.prefer(a, b, "id").collect()} == {("1", "b", "a"), ("2", "d", None)}
+    drafts = spark.createDataFrame([(0, " ", "# x"), (1, "T", "# y")], "pos int, title string, markdown string")
+    sets = library.create_sets(drafts, 1_700_000_000_000)
+    assert {r.title for r in sets.collect()} == {"Untitled set", "T"} and sets.select("id").distinct().count() == 2
+    kept = library.refresh(spark.createDataFrame([("a", "full", True), ("b", "abs", False)], "id string, markdown string, full boolean"), spark.createDataFrame([("a", "abs", False), ("b", "full", True)], "id string, markdown string, full boolean"))
+    assert {r.id: (r.markdown, r.changed) for r in kept.collect()} == {"a": ("full", False), "b": ("full", True)}
+    rounds = spark.createDataFrame([(1, "p", "term"), (2, "p", "term")], "round int, pair_id string, side string"), spark.createDataFrame([(1, "p", "definition"), (2, "p", "term")], "round int, pair_id string, side string")
+    assert {r.round: r.matched for r in quiz.clicks(*rounds).collect()} == {1: True, 2: False}
