@@ -14,8 +14,6 @@ from lexiquarry.llm.common import materialise, table
 
 #: Documents whose language is less sure than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.5
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
 COLUMNS = ("lang", "source", "n_chars")
 
 
@@ -27,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return simhash.representatives(docs, size=SHINGLE, keep=COLUMNS)
+    """Keeps one document of each group of near duplicates: five-word shingles, a similarity of about 0.8 or more."""
+    return simhash.representatives(docs, keep=COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ ORDERS = (5, 4, 3, 2, 1)
 EVIDENCE = 24
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 #: Words an executor's cache keeps between batches.
-CACHED = 300_000
+CACHED = 60_000
 
 
 @dataclass
@@ -142,7 +142,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         width = len(m.langs)
-        for part, _, _ in slices(batches, "text", 4 << 20):
+        for part, _, _ in slices(batches, "text", 2 << 20):
             split = pc.split_pattern_regex(pc.utf8_lower(part.column("text")), NOT_LETTERS)
             coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
             known = coded.dictionary.to_pylist()

@@ -16,6 +16,8 @@ from lexiquarry.llm.common import slices, texts
 #: Labelled rows learned from (about), and words of the learned lexicon.
 SAMPLE_ROWS, LEARNED = 24_000, 300
 THRESHOLD = 0.7
+#: Words that a worker keeps the traits of between batches.
+CACHED = 60_000
 #: Fixed word list: insults by language.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb clown clowns pathetic worthless disgusting loser losers trash garbage scum filth ugly fool fools hate hateful imbecile jerk "
@@ -61,7 +63,7 @@ def features(text: pa.Array, data: np.ndarray, offsets: np.ndarray, learned: dic
     at = split.offsets.to_numpy() - begin
     own = coded.dictionary.to_pylist()
     table = np.zeros((len(own) + 1, 8))
-    if len(cache) > 300_000:
+    if len(cache) > CACHED:
         cache.clear()
     for i, w in enumerate(own):
         if w:
@@ -200,7 +202,7 @@ def _measure(rows: DataFrame, learned: dict[str, float], keep: list[str]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for part, data, offsets in slices(batches, "text", 4 << 20):
+        for part, data, offsets in slices(batches, "text", 2 << 20):
             x = features(part.column("text"), data, offsets, learned, cache)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(list(x), pa.list_(pa.float64()))], [*keep, "features"])
 
@@ -250,7 +252,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for part, data, offsets in slices(batches, "text", 4 << 20):
+        for part, data, offsets in slices(batches, "text", 2 << 20):
             score = model.score(features(part.column("text"), data, offsets, model.learned, cache))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
