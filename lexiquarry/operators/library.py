@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as T
 
+#: Fixed value: how an export says what it is.
 FORMAT = "recall-set"
 EXPORT = "format string, version int, title string, markdown string, exportedAt bigint"
 LIBRARY = "sets array<struct<id:string,title:string,markdown:string,createdAt:bigint,updatedAt:bigint>>, progress map<string,struct<cards:map<string,struct<box:double,seen:bigint,correct:bigint,wrong:bigint,starred:boolean,last:bigint>>,bestMatchMs:bigint>>, tombstones map<string,bigint>"
