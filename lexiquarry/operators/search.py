@@ -103,7 +103,8 @@ def unseen(identities: DataFrame, saved: DataFrame, most: int = 120, order: str
     """First of each identity that isn't saved, with ``over`` for those past the cap (a row each, never dropped)."""
     fresh = identities.join(saved.select("identity").distinct(), "identity", "left_anti")
     first = fresh.groupBy("identity").agg(F.min(order).alias(order))
-    return first.withColumn("over", F.row_number().over(Window.orderBy(order)) > most)
+    within = first.orderBy(order, "identity").limit(most).select("identity", F.lit(False).alias("over"))  # a top-k, not a global window
+    return first.join(within, "identity", "left").withColumn("over", F.coalesce("over", F.lit(True)))
 
 
 def prioritised(copies: DataFrame) -> DataFrame:
