@@ -115,28 +115,28 @@ def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= most  # of a signed number it would count the magnitude's bits
 
 
-def _tree(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one large bucket's links: no more than rows, though the links may be their square."""
+def _stars(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's linked groups as edges from each member to the group's least: fewer than rows, though the links may be
+    their square, and the same edges in every bucket that holds the group. fp is ascending."""
     rest, left, right = np.arange(len(fp)), [], []
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, least, rest = [rest[0]], rest[0], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
-            hit = _close(fp[rest], fp[at], most)
+            hit = _close(fp[rest], fp[queue.pop()], most)
             found, rest = rest[hit], rest[~hit]
-            left.append(np.full(len(found), at))
+            left.append(np.full(len(found), least))
             right.append(found)
             queue.extend(found.tolist())
     none = [np.zeros(0, dtype=np.int64)]
     return fp[np.concatenate(left or none)], fp[np.concatenate(right or none)]
 
 
-def _bucket_links(key: np.ndarray, role: np.ndarray, fp: np.ndarray, most: int = MOST_BITS, large: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(key: np.ndarray, role: np.ndarray, fp: np.ndarray, most: int = MOST_BITS, large: int = 8) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((begin, [len(key)])))
     left, right = [], []
     for s, n in zip(begin[size > large], size[size > large]):
-        a, b = _tree(np.unique(fp[s : s + n]), most)
+        a, b = _stars(np.unique(fp[s : s + n]), most)
         left.append(a)
         right.append(b)
     begin, size = begin[(size > 1) & (size <= large)], size[(size > 1) & (size <= large)]
@@ -156,7 +156,7 @@ def _bucket_links(key: np.ndarray, role: np.ndarray, fp: np.ndarray, most: int =
 
 
 def verified(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their keys to links between fingerprints: in a key's bucket, all of them or a spanning forest."""
+    """Rows in order of their keys to links between fingerprints: in a key's bucket, all of them or stars of its groups."""
     held: list[np.ndarray] | None = None
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
