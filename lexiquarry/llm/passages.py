@@ -88,7 +88,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = A.spans_of(rec, subtree(info, *sides, window), window)
             yield A.blobs(list(A.by_chunk(A.SPANS, spans, chunks, A.chunk_of(spans["doc"], chunks))))
 
-    found = materialise(open_.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(resolve, A.BLOBS), "spans")
+    found = open_.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(resolve, A.BLOBS)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
         rows = []
