@@ -7,8 +7,9 @@ the second, the codeword nearest to one version is among those near the other, i
 parity differs, which tells the two roles apart. Rows that share a key are verified by their real distance.
 
 Similarity of word shingles at a threshold such as 0.8 leaves fingerprints too far apart for 4 bits. ``representatives``
-therefore takes its keys from fingerprints of the set of words, which a few changed words hardly move, and verifies
-with the fingerprint of the shingles.
+therefore takes keys of two kinds: Golay keys of fingerprints of the set of words, which a few changed words hardly move,
+and keys of min-wise samples of the shingles, which two texts share with a probability that depends on the similarity of
+their shingles alone, whatever was edited (``recall``). Links are settled by the texts' shingles themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ from lexiquarry.llm.components import components
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: A similarity of 0.8 of five-word shingles leaves 9.7 of 64 bits different on average, and 12 or fewer in 8 of 10 cases.
 SIMILAR_SHINGLE, SIMILAR_BITS = 5, 12
+#: Keys of min-wise samples, and the samples that make one: of pairs with a similarity of 0.8, 2 in 10,000 share none.
+BANDS, DEEP = 16, 4
+#: Numerator and denominator of the least similarity of a link.
+LEAST = (4, 5)
+#: Bits of four shingle fingerprints in which a pair of a min-wise key may differ to be looked at: 0.8 leaves 38.8 of 256
+#: different on average with a deviation of 5.7. Up to SURE bits, members of large buckets are taken as one group.
+SURE_BITS, FAR_BITS, LARGE_BUCKET = 16, 66, 64
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -61,19 +69,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = (), probes: bool = False) -> DataFrame:
-    """(doc_id, columns to keep, fp long, with probes also probe_a and probe_b long): the signed form of the 64-bit SimHash of each row's whole text. Null texts count as empty."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns to keep, fp long): the signed form of the 64-bit SimHash of each row's whole text. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, data, offsets in slices(batches, "text"):
             data = ASCII_LOWER[data]
             raw = [data[s:e].tobytes() for s, e in zip(offsets, offsets[1:])]
-            made = [[majority(shingle_hashes(t, size)) for t in raw], *(zip(*map(word_prints, raw)) if probes else ())]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in made)], [*own, *names])
+            made = np.array([majority(shingle_hashes(t, size)) for t in raw], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(made.view(np.int64))], [*own, "fp"])
 
-    own, names = ["doc_id", *keep], ["fp", "probe_a", "probe_b"] if probes else ["fp"]
+    own = ["doc_id", *keep]
     rows = texts(df, id_col, text_col, tuple(k for k in keep if k != "text"))
-    return rows.mapInArrow(run, ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in own] + [f"{n} long" for n in names]))
+    return rows.mapInArrow(run, ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in own] + ["fp long"]))
 
 
 def fuzzy_keys(batches: Iterator[pa.RecordBatch], probes: tuple[str, ...] = ("fp",)) -> Iterator[pa.RecordBatch]:
@@ -196,22 +204,186 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes(rows), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def classes(rows: DataFrame, most: int = MOST_BITS, probes: tuple[str, ...] = ("fp",)) -> DataFrame:
+def classes(rows: DataFrame) -> DataFrame:
     """(doc_id, fp) to (fp, root, component_id), a row for each fingerprint; a class has one root, and its least id."""
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes if probes == ("fp",) else rows.select("fp", *probes).distinct(), most, probes))
+    roots = components(links(nodes))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return grouped.join(named, "root").select("fp", "root", "component_id")
 
 
+def recall(similarity: float) -> float:
+    """Probability that two texts of this similarity of shingles share a min-wise key."""
+    return 1 - (1 - similarity**DEEP) ** BANDS
+
+
+_FACTORS = mix(np.arange(1, BANDS * DEEP + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SALTS = mix(np.arange(101, 105, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketched(text: bytes) -> tuple[list[int], list[int]]:
+    """Four independent fingerprints of the set of five-word shingles, and the keys of its min-wise samples."""
+    hashes = np.unique(shingle_hashes(text, SIMILAR_SHINGLE))
+    least, ones = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(256, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        piece = hashes[at : at + 4096, None]
+        least = np.minimum(least, (piece * _FACTORS).min(axis=0))
+        ones += np.unpackbits(mix(piece ^ _SALTS).astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for i in range(DEEP):
+        keys = mix(keys ^ least[i::DEEP])
+    prints = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+    return prints.view(np.int64).tolist(), keys.view(np.int64).tolist()
+
+
+def plain(text: bytes) -> bytes:
+    """What decides similarity: the words, ASCII letters in lower case."""
+    return b" ".join(text.lower().split())
+
+
+def prints_and_keys(df: DataFrame) -> DataFrame:
+    """(doc_id, tie, text) to (doc_id, tie, node, fp, probe_a, probe_b, prints, keys); texts of the same words are one node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, data, offsets in slices(batches, "text"):
+            raw = [plain(data[s:e].tobytes()) for s, e in zip(offsets, offsets[1:])]
+            node = [xxhash.xxh64_intdigest(t, SEED) for t in raw]
+            made = [node, [majority(shingle_hashes(t, SIMILAR_SHINGLE)) for t in raw], *zip(*map(word_prints, raw))]
+            prints, keys = zip(*map(sketched, raw))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in made]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prints, keys)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), *longs, *lists], ["doc_id", "tie", "node", "fp", "probe_a", "probe_b", "prints", "keys"])
+
+    id_type = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "tie", "text").mapInArrow(run, f"doc_id {id_type}, tie long, node long, fp long, probe_a long, probe_b long, prints array<long>, keys array<long>")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _large_bucket(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: a tree of each group of surely similar members, and all pairs between groups that may be similar."""
+    group, rest, left, right = np.zeros(len(prints), dtype=np.int64), np.arange(len(prints)), [], []
+    while len(rest):
+        queue, number, rest = [rest[0]], rest[0], rest[1:]
+        group[number] = number
+        while queue and len(rest):
+            one = queue.pop()
+            hit = _apart(prints[rest], prints[one]) <= SURE_BITS
+            found, rest = rest[hit], rest[~hit]
+            group[found] = number
+            left.append(np.full(len(found), one))
+            right.append(found)
+            queue.extend(found.tolist())
+    for i in range(len(prints) if (group != group[0]).any() else 0):
+        others = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        found = others[_apart(prints[others], prints[i]) <= FAR_BITS]
+        left.append(np.full(len(found), i))
+        right.append(found)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _bucket_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    left, right = [], []
+    for s, n in zip(begin[size > LARGE_BUCKET], size[size > LARGE_BUCKET]):
+        a, b = _large_bucket(prints[s : s + n])
+        left.append(node[s + a])
+        right.append(node[s + b])
+    begin, size = begin[(size > 1) & (size <= LARGE_BUCKET)], size[(size > 1) & (size <= LARGE_BUCKET)]
+    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    end, step = np.repeat(begin + size, size), 1
+    while len(at):
+        keep = at + step < end
+        at, end = at[keep], end[keep]
+        hit = _apart(prints[at], prints[at + step]) <= FAR_BITS
+        left.append(node[at[hit]])
+        right.append(node[at[hit] + step])
+        step += 1
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their keys to pairs of nodes of a key that may be similar."""
+    held: list[np.ndarray] | None = None
+
+    def pairs(key: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
+        a, b = _bucket_pairs(key, node, np.stack(prints, axis=1).view(np.uint64))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "p0", "p1", "p2", "p3")]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield pairs(*(x[:cut] for x in rows))
+    if held is not None:
+        yield pairs(*held)
+
+
+def min_wise_pairs(rows: DataFrame) -> DataFrame:
+    """(node, prints, keys) to pairs (a, b) of nodes that share a key and may be similar."""
+    once = rows.groupBy("node").agg(F.first("prints").alias("p"), F.first("keys").alias("k"))
+    keyed = once.select(F.explode("k").alias("key"), "node", *(F.col("p")[i].alias(f"p{i}") for i in range(4)))
+    return keyed.repartition(parts_for(rows), "key").sortWithinPartitions("key", "node").mapInArrow(_met, "a long, b long")
+
+
+def golay_pairs(rows: DataFrame) -> DataFrame:
+    """(node, fp, probe_a, probe_b) to pairs (a, b) of nodes of near or equal fingerprints, as stars."""
+    of_fp = rows.groupBy("fp").agg(F.min("node").alias("node"))
+    near = links(rows.select("fp", "probe_a", "probe_b").distinct(), SIMILAR_BITS, ("probe_a", "probe_b")).distinct()
+    near = near.join(of_fp.toDF("a", "na"), "a").join(of_fp.toDF("b", "nb"), "b").select("na", "nb")
+    equal = rows.join(of_fp.toDF("fp", "least"), "fp").where("node <> least").select("least", "node")
+    return near.union(equal).toDF("a", "b")
+
+
+def shingles(text: bytes) -> set[bytes]:
+    words = text.split()
+    return {b" ".join(words[i : i + SIMILAR_SHINGLE]) for i in range(max(1, len(words) - SIMILAR_SHINGLE + 1))}
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, have = None, set()
+    for batch in batches:
+        a, b, left, right = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+        keep = []
+        for i, node in enumerate(a.to_pylist()):
+            if node != now:
+                now, have = node, shingles(plain(left[i].as_py().encode()))
+            other = shingles(plain(right[i].as_py().encode()))
+            both = len(have & other)
+            keep.append(both * LEAST[1] >= (len(have) + len(other) - both) * LEAST[0])
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+
+def similar(pairs: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles, read from the texts, are LEAST similar or more."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    chosen = rows.join(ends, "node").groupBy("node").agg(F.min("tie").alias("tie"))
+    read = materialise(fresh.select("tie", "text").join(chosen, "tie").dropDuplicates(["node"]).select("node", "text"), "ends")
+    met = pairs.join(read.toDF("b", "text_b"), "b").join(read.toDF("a", "text_a"), "a")
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
+
+
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text and the columns to keep of one row of each group of documents whose five-word shingles are about 0.8
+    """doc_id, text and the columns to keep of one row of each group of documents whose five-word shingles are 0.8
     similar or more: the smallest id's (rows without an id come last), of its rows the one of the least text hash."""
     fresh = texts(df, id_col, text_col, keep).withColumn("tie", F.xxhash64("text"))
-    rows = materialise(fingerprints(fresh, size=SIMILAR_SHINGLE, keep=("tie",), probes=True), "fingerprints")
+    rows = materialise(prints_and_keys(fresh), "fingerprints")
+    roots = components(similar(min_wise_pairs(rows), rows, fresh).union(golay_pairs(rows)))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    grouped = rows.join(classes(rows, SIMILAR_BITS, ("probe_a", "probe_b")), "fp")
+    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_tie"))
     left = fresh.join(kept, (fresh["tie"] == kept["_tie"]) & fresh["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     return left.dropDuplicates(["tie", "doc_id"]).select("doc_id", "text", *keep)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import numpy as np
-from lexiquarry.llm import langid, mixing, packing, pii
+from lexiquarry.llm import langid, mixing, packing, pii, simhash
 from lexiquarry.llm.common import WORD
 from pyspark.sql import functions as F
 
@@ -89,3 +89,34 @@ def test_run_and_empty(spark, tmp_path):
         assert none.count() == 0
     assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "personal_data", "mix", "pack"]
     assert not re.search("except", open(P.__file__).read())
+
+
+def edited() -> list[tuple[int, str, int]]:
+    """(id, text, id of its original): fresh texts, each with its tail cut off, more appended, or a block replaced."""
+    out = []
+    for k in range(40):
+        word = lambda i, k=k: f"w{k}x{i}"
+        words = [word(i) for i in range(400)]
+        other = {0: words[:330], 1: words + [word(1000 + i) for i in range(80)], 2: words[:200] + [word(2000 + i) for i in range(30)] + words[230:], 3: words[60:]}[k % 4]
+        out += [(2 * k, " ".join(words), 2 * k), (2 * k + 1, " ".join(other), 2 * k)]
+    return out
+
+
+def test_near_duplicates_of_any_edit(spark):
+    rows = edited()
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(0, len(rows), 2)) and simhash.recall(0.8) > 0.999
+    kept = P.near_duplicates(spark, spark.createDataFrame([(i, t, None, None, 1) for i, t, _ in rows], SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({o for _, _, o in rows})
+
+
+def test_large_buckets_lose_none():
+    """Of a bucket over the limit, what is passed on links whatever is near."""
+    rng = np.random.default_rng(3)
+    bits = np.repeat(rng.integers(0, 2, (3, 256)), 40, axis=0) ^ (rng.random((120, 256)) < 0.04)
+    prints = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    a, b = simhash._large_bucket(prints)
+    label = np.arange(120)
+    for _ in range(120):
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+    assert (label == np.repeat([0, 40, 80], 40)).all()
