@@ -381,7 +381,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similar or more: the smallest id's (rows without an id come last), of its rows the one of the least text hash."""
     fresh = texts(df, id_col, text_col, keep).withColumn("tie", F.xxhash64("text"))
     rows = materialise(prints_and_keys(fresh), "fingerprints")
-    roots = components(similar(min_wise_pairs(rows), rows, fresh).union(golay_pairs(rows)))
+    roots = components(similar(min_wise_pairs(rows).union(golay_pairs(rows)), rows, fresh))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_tie"))

@@ -120,3 +120,11 @@ def test_large_buckets_lose_none():
         np.minimum.at(label, a, label[b])
         np.minimum.at(label, b, label[a])
     assert (label == np.repeat([0, 40, 80], 40)).all()
+
+
+def test_equal_fingerprints_are_not_enough(spark):
+    """One shingle said over and over decides the fingerprint; the texts share little else."""
+    rows = [(i, "a " * 50 + text(900 + i, ENGLISH, 6), None, None, 1) for i in range(4)]
+    assert len({simhash.majority(simhash.shingle_hashes(r[1].encode(), simhash.SIMILAR_SHINGLE)) for r in rows}) == 1
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
