@@ -1,22 +1,24 @@
 """Personal data found by patterns and by information-theoretic sanitisation, in DataFrame operations alone.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Around each base span the words within
-``REACH`` words are candidate terms. A term t discloses a protected value c as the pointwise mutual information
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. All other words of a document that holds
+one are candidate terms, wherever they stand. A term t discloses a protected value c as the pointwise mutual information
 log2(N * n(t,c) / (n(t) * n(c))) against the value's own information content log2(N / n(c)): a term with at least
-``DISCLOSES`` of that content, seen beside the value in at least ``SUPPORT`` different texts, gives the value away and
-is itself a span of kind ``term``. All counts are of documents and cover the whole corpus.
+``DISCLOSES`` of that content, in at least ``SUPPORT`` different texts with the value, gives the value away, and each place
+of it in a document that holds the value is a span of kind ``term``. All counts are of documents and cover the whole
+corpus. A value in fewer than ``SUPPORT`` texts can have no such term, so its documents' words aren't counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import materialise, texts
+from lexiquarry.llm.common import WORD, materialise, texts
 
-REACH, SUPPORT, DISCLOSES = 3, 3, 0.8
+SUPPORT, DISCLOSES = 3, 0.8
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds. The look-behinds only keep the search linear: a match always begins its run.
 PATTERNS = {
@@ -27,11 +29,17 @@ PATTERNS = {
 }
 #: What a text must contain for a kind's pattern to be worth a run.
 NEEDS = {"email": "[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?+){12}[0-9]", "phone": r"\+[0-9][\x20().0-9-]"}
+#: Stands for a base span where a text's other words are read.
+HOLE = "\uffff"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), in code points, end exclusive."""
+def _all(value: Column) -> Column:
+    return F.lit(True)
+
+
+def matches(text: Column, pattern: str, wanted: Callable[[Column], Column] = _all) -> Column:
+    """Leftmost non-overlapping matches whose value is wanted as (start, end, value), in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     lens = F.transform(found, F.length)
@@ -41,7 +49,7 @@ def matches(text: Column, pattern: str) -> Column:
         F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["value"].alias("value")))).alias("out"),
+            F.when(wanted(x["value"]), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"))))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: acc["out"],
     )
@@ -76,14 +84,6 @@ def _entity(kind: str, span: Column) -> Column:
     return _key(kind, span["value"])
 
 
-def _named_ends(kind: str, span: Column) -> Column:
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), _entity(kind, span).alias("entity"))
-
-
-def _term(base: Column, span: Column) -> Column:
-    return F.struct((base + span["start"]).alias("start"), (base + span["end"]).alias("end"), bare(span["value"]).alias("term"))
-
-
 def base_spans(df: DataFrame) -> DataFrame:
     """Adds an array column for each base kind to rows with a text that isn't null."""
     for kind in KINDS:
@@ -104,24 +104,23 @@ def bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def neighbours(found: DataFrame, reach: int) -> DataFrame:
-    """Rows with spans to (doc_id, at, entity, term, start, end): the words beside each base span that touch none."""
-    spans = F.concat(*(F.transform(kind, partial(_named_ends, kind)) for kind in KINDS))
-    one = found.withColumn("span", F.explode(spans))
-    # 64 code points a word are looked at on each side; a longer word is no term
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("span.start") + 1 - reach * 64), F.least(F.col("span.start"), F.lit(reach * 64)))
-    after = F.substring(F.col("text"), F.col("span.end") + 1, F.lit(reach * 64))
-    one = one.withColumn("left", before).withColumn("right", after)
-    word = r"[^\x20\x09-\x0D]+"
-    sides = []
-    for side, base in (("left", F.col("span.start") - F.length("left")), ("right", F.col("span.end"))):
-        each = matches(F.col(side), word)
-        near = F.slice(each, -reach, reach) if side == "left" else F.slice(each, 1, reach)
-        near = F.when(F.size(each) >= reach, near).otherwise(each)
-        sides.append(F.transform(near, partial(_term, base)))
-    rows = one.select("doc_id", "at", "entity_spans", F.col("span.entity").alias("entity"), F.explode(F.concat(*sides)).alias("word"))
-    clear = ~F.exists("entity_spans", lambda x: (x["start"] < F.col("word.end")) & (x["end"] > F.col("word.start")))
-    return rows.where(clear & F.col("word.term").rlike(r"\p{L}") & (F.length("word.term") <= 63)).select("doc_id", "at", "entity", "word.term", "word.start", "word.end")
+def _hole(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(HOLE).alias("mark"))
+
+
+def terms() -> Column:
+    """The different terms of a row with spans: words with a letter that touch no base span."""
+    holed = _replaced(F.concat(*(F.transform(kind, _hole) for kind in KINDS)))
+    words = F.filter(F.regexp_extract_all(holed, F.lit(WORD), F.lit(0)), lambda w: ~w.contains(HOLE))
+    return F.filter(F.array_distinct(F.transform(words, bare)), lambda t: t.rlike(r"\p{L}"))
+
+
+def places(flagged: Column) -> Column:
+    """The places of a row's flagged terms that touch no base span."""
+    every = F.concat(*(F.transform(kind, _ends) for kind in KINDS))
+    found = matches(F.col("text"), WORD, lambda w: F.array_contains(flagged, bare(w)))
+    clear = F.filter(found, lambda x: ~F.exists(every, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    return F.transform(clear, _ends)
 
 
 def _marked(kind: str, span: Column) -> Column:
@@ -134,29 +133,36 @@ def _sewn(acc: Column, span: Column) -> Column:
     return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, span["mark"])).otherwise(acc["out"]).alias("out"))
 
 
-def redacted() -> Column:
-    """The text of a row that ``find`` gave, its spans replaced by their kinds; a span that begins in another goes with it."""
-    every = F.array_sort(F.concat(*(F.transform(kind, partial(_marked, kind)) for kind in (*KINDS, "term"))))
+def _replaced(spans: Column) -> Column:
+    every = F.array_sort(spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     sewn = F.aggregate(every, start, _sewn, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return F.when(F.size(every) == 0, F.col("text")).otherwise(sewn)
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, discloses: float = DISCLOSES, keep: tuple[str, ...] = ()) -> DataFrame:
+def redacted() -> Column:
+    """The text of a row that ``find`` gave, its spans replaced by their kinds; a span that begins in another goes with it."""
+    return _replaced(F.concat(*(F.transform(kind, partial(_marked, kind)) for kind in (*KINDS, "term"))))
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, discloses: float = DISCLOSES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of df: doc_id, text, the columns to keep, an array of spans for each base kind, and ``term`` spans.
 
     Null and empty texts have no spans. Repeated rows each get a row with the same spans; null ids are kept. Terms are
     judged over the whole corpus, so equal texts have equal spans. No rows give no rows; other columns aren't read.
     """
     rows = base_spans(texts(df, id_col, text_col, keep).withColumn("at", F.xxhash64("text")))
-    held = materialise(rows.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0), "private")
-    every = F.concat(*(F.transform(kind, _ends) for kind in KINDS))
-    beside = materialise(neighbours(held.withColumn("entity_spans", every), reach), "beside")
-    joint = beside.groupBy("entity", "term").agg(F.countDistinct("at").alias("texts"), F.countDistinct("doc_id").alias("both")).where(F.col("texts") >= support)
-    joint = materialise(joint, "joint")
     named = F.concat(*(F.transform(kind, partial(_entity, kind)) for kind in KINDS))
-    of_entity = held.select(F.explode(F.array_distinct(named)).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = texts(df, id_col, text_col).select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), bare))).alias("term"))
+    private = rows.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)
+    held = materialise(private.select("at", "text", *KINDS, F.array_distinct(named).alias("entities")), "private")
+    each = held.select("at", F.explode("entities").alias("entity")).groupBy("entity", "at").agg(F.count("*").alias("copies"))
+    of_entity = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    shared = materialise(each.join(of_entity.drop("texts"), "entity"), "entities")
+    known = held.join(shared.select("at").distinct(), "at", "left_semi").dropDuplicates(["at"]).select("at", terms().alias("terms"))
+    beside = materialise(shared.join(known, "at").select("entity", "at", "copies", "n_entity", F.explode("terms").alias("term")), "beside")
+    joint = beside.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= support)
+    joint = materialise(joint, "joint")
+    words = texts(df, id_col, text_col).select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), bare))).alias("term"))
     total = df.count()
     if joint.isEmpty():
         flagged = joint.select("entity", "term")
@@ -164,7 +170,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: i
         of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
         n = F.lit(float(total))
         gives = F.log2(n * F.col("both") / (F.col("n_term") * F.col("n_entity"))) >= F.lit(discloses) * F.log2(n / F.col("n_entity"))
-        flagged = joint.join(of_entity, "entity").join(of_term, "term").where(gives & (F.col("n_entity") < n)).select("entity", "term")
-    extra = beside.join(flagged, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("term"))
-    out = rows.join(extra, rows["doc_id"].eqNullSafe(extra["_id"]) & (rows["at"] == extra["_at"]), "left")
-    return out.select("doc_id", "text", *keep, *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
+        flagged = joint.join(of_term, "term").where(gives & (F.col("n_entity") < n)).select("entity", "term")
+    extra = beside.join(flagged, ["entity", "term"]).groupBy(F.col("at").alias("_at")).agg(F.collect_set("term").alias("flagged"))
+    out = rows.join(extra, rows["at"] == extra["_at"], "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return out.select("doc_id", "text", *keep, *KINDS, F.when(F.col("flagged").isNull(), none).otherwise(places(F.col("flagged"))).alias("term"))

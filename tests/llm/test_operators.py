@@ -384,6 +384,19 @@ def test_pii_terms(spark):
         assert i >= 5 or ("qf@mail.org" not in out[i].clean and "<EMAIL>" in out[i].clean and "quillfeather" not in out[i].clean)
 
 
+def test_pii_terms_anywhere(spark):
+    """A term that stands far from the value is found, wherever and how often; a document without the value keeps it."""
+    long = "q" * 80
+    rows = [(i, f"Zanthorpe, {sentence(i, 90)} reach {long} of the clinic {sentence(i + 50, 5)} by za@mail.org. {sentence(i + 90, 40)} (ZANTHORPE)!") for i in range(5)]
+    rows += [(90, "zanthorpe alone"), *((100 + i, sentence(200 + i, 60)) for i in range(200))]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("clean", pii.redacted()).collect()}
+    for i, text in rows[:5]:
+        found = [text[x.start : x.end] for x in out[i].term]
+        assert found.count("Zanthorpe,") == found.count("(ZANTHORPE)!") == found.count(long) == 1 and "the" not in found
+        assert "zanthorpe" not in out[i].clean.lower() and "za@mail.org" not in out[i].clean
+    assert out[90].clean == "zanthorpe alone"
+
+
 def test_redaction(spark):
     text = "a 10.0.0.1 b +1 (310) 555-4510 c"
     row = pii.find(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")).withColumn("clean", pii.redacted())
