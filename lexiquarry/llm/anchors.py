@@ -28,7 +28,7 @@ from lexiquarry.llm.common import mix, slices, texts
 NO_ID = np.iinfo(np.int64).max
 SPANS, ASKED, DOCUMENTS = 0, 1, 2
 SLICE = 4 << 20
-RUN = np.dtype([("key", "<u8"), ("print", "<u4"), ("row", "<u2"), ("pos", "<u4"), ("back", "<u2"), ("near", "<u2")])
+RUN = np.dtype([("key", "<u8"), ("print", "<u8"), ("row", "<u2"), ("pos", "<u4"), ("back", "<u2"), ("near", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("end", "<u4")])
 ASK = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("back", "<u2"), ("near", "<u2"), ("key", "<u8"), ("known", "?")])
 
@@ -111,7 +111,7 @@ def sampled(docs: DataFrame, units: Units, size: int, window: int, shards: int)
                     continue
                 row = np.searchsorted(at, anchor, side="right") - 1
                 rec = np.empty(len(anchor), dtype=RUN)
-                rec["key"], rec["print"] = grams[anchor], (hasher(first, last + window) >> np.uint64(32)).astype(np.uint32)
+                rec["key"], rec["print"] = grams[anchor], hasher(first, last + window)
                 rec["row"], rec["pos"], rec["back"], rec["near"] = row, anchor - at[row], anchor - first, anchor - last
                 out = []
                 for r, kind, blob in by_chunk(0, rec, shards, (rec["key"] % np.uint64(shards)).astype(np.int32)):

@@ -49,7 +49,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A word goes if ``window`` words over it are also found in a document of a smaller id. Null texts have no words.
     Repeated rows have one id, so neither loses words to the other; a null id counts as larger than any. No rows give no
-    rows. Words are equal if their 32-bit hashes are equal through a whole window, or a run's 96-bit fingerprint is.
+    rows. Words are equal if their 32-bit hashes are equal through a whole window, or a run's key and 64-bit fingerprint are.
     """
     parts = parts_for(df)
     shards = chunks = parts

@@ -74,7 +74,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A byte goes if a string of ``length`` bytes over it also starts elsewhere in any document, its own included. Null
     texts are empty. Repeated rows are documents of their own, hence each other's copies; null ids are kept. No rows give
-    no rows. Strings are equal if their bytes are, or their runs' 96-bit fingerprints.
+    no rows. Strings are equal if their bytes are, or their runs' keys and 64-bit fingerprints of all their bytes.
     """
     parts = parts_for(df)
     shards = chunks = parts

@@ -168,6 +168,20 @@ def test_window_minima():
         assert anchors.window_minima(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(len(values) - width + 1)]
 
 
+def test_prints_are_whole(spark):
+    """Different runs of one key whose hashes agree in the upper half aren't taken for repeats."""
+
+    def units(data, offsets):
+        grams, at, hasher = substrings._units(data, offsets)
+        return grams, at, lambda s, e: hasher(s, e) & np.uint64(0xFFFFFFFF)
+
+    letters = lambda seed, n: bytes(np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8)).decode()
+    rows = [(i, letters(i, 60) + letters(999, 39) + letters(100 + i, 60)) for i in range(50)]
+    sent = anchors.sampled(spark.createDataFrame(rows, "doc_id long, text string"), units, 32, 40, 1)
+    kinds = {r.kind for r in anchors.judged(sent, 40, 1, 1, earlier_only=False).collect()}
+    assert kinds == {anchors.ASKED}
+
+
 def test_language(spark, docs, none):
     train = [(i, f"der hund und die katze sind im haus nummer {i}", "de") for i in range(40)] + [(100 + i, f"the dog and the cat are in house number {i}", "en") for i in range(40)]
     table = spark.createDataFrame(train, "doc_id long, text string, lang string")
