@@ -175,8 +175,12 @@ def auto_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.array_join(F.transform(T.auto_links(all_), lambda x: x["href"]), " ").alias("links"))
 
 
+#: Keys of one note; a brand has about a twenty-fifth of them.
+NOTE_KEYS = 300
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown note for each brand: headings, definitions, questions, prose, a table and a quote."""
+    """A Markdown note for each brand's parts of a range of NOTE_KEYS keys: headings, definitions, questions, prose, a table and a quote."""
     part = read(spark, sf_dir, "part")
     lines = F.concat(
         F.lit("## "), F.col("p_type"), F.lit("\n\n- **"), F.col("p_name"), F.lit("**: the part of size "), F.col("p_size"), F.lit(" that is made of it\n- Part "), F.col("p_partkey"), F.lit(": sold at "), F.col("p_retailprice"),
@@ -184,9 +188,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("% in every trial (p < 0.01). The price of "), F.col("p_name"), F.lit(" may rise again in the years to come.\n\n| Name | Size | Price |\n| --- | --- | --- |\n| N"), F.col("p_partkey"), F.lit(" part | "), F.col("p_size"), F.lit(" | "), F.col("p_retailprice"),
         F.lit(" |\n\n> The rule of "), F.col("p_name"), F.lit(" holds for all of the others as well.\n\n#### Table "), F.col("p_size"), F.lit(". Sizes\n\n| a | b |\n|---|---|\n| 1 | 2 |"),
     )
-    rows = part.select("p_brand", F.struct("p_partkey", lines.alias("t")).alias("x"))
-    body = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, 12), lambda x: x["t"]), "\n\n")
-    return rows.groupBy(F.col("p_brand").alias("doc_id")).agg(F.concat(F.lit("---\ntitle: Parts\npmcid: PMC12\n---\n# Parts\n\n"), body).alias("markdown"))
+    name = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / NOTE_KEYS))
+    rows = part.select(name.alias("doc_id"), F.struct("p_partkey", lines.alias("t")).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n")
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("---\ntitle: Parts\npmcid: PMC12\n---\n# Parts\n\n"), body).alias("markdown"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Operators on literal rows: merges, search, study material, quizzes, storage, streams."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -287,3 +288,12 @@ def test_small_operators(spark):
     assert {r.id: (r.markdown, r.changed) for r in kept.collect()} == {"a": ("full", False), "b": ("full", True)}
     rounds = spark.createDataFrame([(1, "p", "term"), (2, "p", "term")], "round int, pair_id string, side string"), spark.createDataFrame([(1, "p", "definition"), (2, "p", "term")], "round int, pair_id string, side string")
     assert {r.round: r.matched for r in quiz.clicks(*rounds).collect()} == {1: True, 2: False}
+
+
+def test_notes_hold_every_part(spark):
+    from lexiquarry.plans import papers
+
+    made = [r.markdown for r in papers.notes(spark, "/root/testdata/sf0.01").collect()]
+    keys = [int(k) for m in made for k in re.findall(r"^- Part (\d+):", m, re.M)]
+    assert sorted(keys) == sorted(r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey").collect())
+    assert max(m.count("\n- Part ") for m in made) <= papers.NOTE_KEYS
