@@ -297,3 +297,12 @@ def test_notes_hold_every_part(spark):
     keys = [int(k) for m in made for k in re.findall(r"^- Part (\d+):", m, re.M)]
     assert sorted(keys) == sorted(r.p_partkey for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey").collect())
     assert max(m.count("\n- Part ") for m in made) <= papers.NOTE_KEYS
+
+
+def test_searches_leave_no_row_out(spark, tmp_path):
+    from lexiquarry.plans import documents
+
+    rows = [(1, "see src3 in the text", None), (2, "all the rest", "src30"), (3, "the " * 100_001, "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in documents.library_search(spark, str(tmp_path)).collect()} == {1, 2, 3}
+    assert {r.doc_id: (r.hits, r.first_at) for r in documents.text_hits(spark, str(tmp_path)).collect()} == {1: (1, 12), 2: (1, 4), 3: (100_001, 0)}
