@@ -48,6 +48,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(F.array_join(F.concat(*lists[:-1]), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*lists), ",").alias("spans"),
+        F.size("term").cast("long").alias("n_term"),
+        sum((F.size(kind) for kind in (*pii.KINDS, "term")), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 

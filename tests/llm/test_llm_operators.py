@@ -415,3 +415,75 @@ def test_redaction(spark):
     text = "a 10.0.0.1 b +1 (310) 555-4510 c"
     row = pii.find(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")).withColumn("clean", pii.redacted())
     assert {r.doc_id: r.clean for r in row.collect()} == {1: "a <IP> b <PHONE> c", 2: "plain", 3: ""}
+
+
+def plain_terms(texts: list[str], support: int, discloses: float, sure: float, reach: int) -> list[set[tuple[int, int]]]:
+    """The term spans of texts by the definition: loops over documents, words and entities."""
+    word, trim = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"^[\W_]+|[\W_]+$")
+    code = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+    bare = lambda w: trim.sub("", w).lower()
+    letter = lambda t: any(c.isalpha() for c in t)
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    held = []
+    for t in texts:
+        found = [(m.start(), m.end(), "email", "email:" + m[0].lower()) for m in mail.finditer(t)]
+        blank = lambda s, spans: "".join("\0" if any(a <= i < b for a, b, *_ in spans) else c for i, c in enumerate(s))
+        found += [(m.start(), m.end(), "code", m[0]) for m in code.finditer(blank(t, found)) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        found.sort()
+        holed = blank(t, found)
+        words = [(m.start(), m.end(), bare(m[0])) for m in word.finditer(holed) if "\0" not in m[0]]
+        before = []
+        for i, (s, _, kind, key) in enumerate(found):
+            low = found[i - 1][1] if i else 0
+            # what is left of a word that an entity is a part of counts as a word
+            tail = [(low + m.start(), low + m.end(), bare(m[0])) for m in word.finditer(t[low:s])][-reach:]
+            before.append((kind, key, s, found[i][1], tail))
+        held.append((found, {w for *_, w in words if letter(w)}, before, words))
+    n, n_term = len(texts), Counter(w for t in texts for w in {bare(m[0]) for m in word.finditer(t)})
+    gives = lambda share, c: c < n and share > 0 and np.log2(n * share / c) >= discloses * np.log2(n / c)
+    flagged: dict[str, set[str]] = {}
+    of_class = Counter(k for f, *_ in held for k in {x[2] for x in f})
+    for kind in of_class:
+        keys: dict[str, set[str]] = {}
+        for _, _, before, _ in held:
+            for k, key, _, _, tail in before:
+                for *_, w in tail:
+                    if k == kind and letter(w):
+                        keys.setdefault(w, set()).add(key)
+        for w, values in keys.items():
+            both, m = sum(w in ws and any(x[2] == kind for x in f) for f, ws, *_ in held), len(values)
+            p = both / n_term[w]
+            low = (p + sure**2 / (2 * m) - sure * np.sqrt(p * (1 - p) / m + sure**2 / (4 * m * m))) / (1 + sure**2 / m)
+            if m >= support and n_term[w] >= support and gives(low, of_class[kind]):
+                flagged.setdefault(kind, set()).add(w)
+    values = Counter(key for f, *_ in held for key in {x[3] for x in f if x[2] == "email"})
+    given: dict[str, set[str]] = {}
+    for key, c in values.items():
+        mine = [i for i, (f, *_) in enumerate(held) if key in {x[3] for x in f}]
+        joint = Counter(w for i in mine for w in held[i][1])
+        alike = {w: len({texts[i] for i in mine if w in held[i][1]}) for w in joint}
+        given[key] = {w for w, b in joint.items() if alike[w] >= support and gives(b / n_term[w], c)} if len({texts[i] for i in mine}) >= support else set()
+    out = []
+    for f, _, before, words in held:
+        spans = {(s, e) for s, e, w in words for x in f if w in given.get(x[3], ())}
+        for kind, _, s, e, tail in before:
+            hits = {(a, b) for a, b, w in tail if w in flagged.get(kind, ())}
+            spans |= hits | ({(s, e)} if hits and kind == "code" else set())
+        out.append(spans)
+    return out
+
+
+def test_pii_terms_by_definition(spark):
+    """Secrets behind a word that introduces them, chance codes, copies, shared addresses and glued words."""
+    rng = np.random.default_rng(11)
+    secret = lambda: bytes(rng.integers(0, 256, 12, dtype=np.uint8)).hex() + "a1"
+    texts = [f'{sentence(i, 25)} {["token", "TOKEN"][i % 2]} = "{secret()}"{["", "###", " and token again"][i % 3]} {sentence(i + 500, 10)}' for i in range(40)]
+    texts += [f"{sentence(i, 20)} {secret()} {sentence(i + 50, 9)}" for i in range(60, 64)] + [texts[0]] * 3
+    texts += [f"{sentence(i, 15)} quillfeather, at qf@mail.org {sentence(i, 6)}" for i in range(70, 75)]
+    texts += [f"reach river.{i}@mail{i}.org now" for i in range(24)] + [sentence(i, 50) for i in range(100, 400)] + ["", "token", "￾ odd token = " + secret()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: {(x.start, x.end) for x in r.term} for r in pii.find(rows).collect()}
+    want = plain_terms(texts, pii.SUPPORT, pii.DISCLOSES, pii.SURE, pii.REACH)
+    assert [found[i] for i in range(len(texts) - 1)] == want[:-1] and found[len(texts) - 1] == set()
+    marked = {t[a:b] for t, spans in zip(texts, want) for a, b in spans}
+    assert {"token", "TOKEN", "reach", "quillfeather,"} <= marked and all(len(want[i]) >= 2 for i in range(40)) and not any(want[40:44])
