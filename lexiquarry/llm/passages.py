@@ -1,16 +1,14 @@
 """Repeated passages of words removed with prefix-partitioned suffix trees.
 
-Suffixes are sampled and dealt as ``anchors`` tells: the prefix that deals them is the anchor's k-gram. In each group the
-suffixes in order with their common lengths are a suffix tree; its internal nodes of a window's depth, met with those
-of the tree to the left, are the windows that occur more than once, each with the least document id under it.
+Suffixes are sampled and dealt as ``anchors`` tells, by prefixes of variable length: the anchor's k-gram, or the whole
+window where more suffixes than fit a group begin with it. In each group the suffixes in order with their common lengths
+are a suffix tree; its internal nodes of a window's depth, met with those of the tree to the left, are the windows that
+occur more than once, each with the least document id under it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +28,18 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     return grams, at, lambda s, e: span_hashes(sums, s, e)
 
 
-def subtree(info: np.ndarray, right: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
-    """A row of marks by offset for each run: windows that a document of a smaller id has too."""
+def _read(data: np.ndarray, offsets: np.ndarray):
+    starts, ends, at = word_spans(data, offsets)
+    hashes = word_hashes(data, starts, ends)
+    sums = prefix_sums(hashes)
+    return np.append((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(0)), at, lambda s, e: span_hashes(sums, s, e)
+
+
+def subtree(rec: np.ndarray, window: int) -> np.ndarray:
+    """A row of marks by offset for each run of a group: windows that a document of a smaller id has too."""
+    info = rec[["key", "back", "near", "doc"]]
     marks = np.zeros((len(info), window), dtype=bool)
-    tree = A.Suffixes(info, right, left)
+    tree = A.Suffixes(info, *(np.ascontiguousarray(rec[s].astype(">u4")).view(np.uint8).reshape(len(rec), -1) for s in ("right", "left")))
 
     def settle(offset: int, members: np.ndarray, classes: np.ndarray) -> None:
         least = np.full(classes.max() + 1, A.NO_ID)
@@ -44,51 +50,21 @@ def subtree(info: np.ndarray, right: np.ndarray, left: np.ndarray, window: int)
     return marks
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = A.GROUP) -> DataFrame:
     """One row for each row of df: doc_id, n_words, n_removed, kept_sha256, spans (of words), kept (words and blanks).
 
     A word goes if ``window`` words over it are also found in a document of a smaller id. Null texts have no words.
     Repeated rows have one id, so neither loses words to the other; a null id counts as larger than any. No rows give no
-    rows. Words are equal if their 32-bit hashes are equal through a whole window, or a run's key and 64-bit fingerprint are.
+    rows. Words are equal if their 32-bit hashes are equal through a whole window, or 64-bit hashes of all words of the
+    runs that hold them, or of the window where more than ``group`` suffixes share an anchor.
     """
-    parts = parts_for(df)
-    shards = chunks = parts
+    shards = chunks = parts = parts_for(df)
     docs = A.numbered(df, id_col, text_col)
-    gram, most = min(GRAM, window), window - min(GRAM, window)
-    record = np.dtype([*A.ASK.descr, ("left", "<u4", (max(most, 1),)), ("right", "<u4", (window,))])
-    flags = materialise(A.judged(A.sampled(docs, _units, gram, window, shards), window, chunks, parts, earlier_only=True), "runs")
-
-    def context(ids, data, offsets, asked) -> np.ndarray | None:
-        rows = [(i, a) for i, a in enumerate(asked) if a is not None]
-        if not rows:
-            return None
-        starts, ends, at_ = word_spans(data, offsets)
-        words = np.concatenate([(word_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.uint32)])
-        asks = np.concatenate([a for _, a in rows])
-        base = np.repeat([at_[i] for i, _ in rows], [len(a) for _, a in rows]).astype(np.int64)
-        last = np.repeat([at_[i + 1] for i, _ in rows], [len(a) for _, a in rows]).astype(np.int64)
-        out = np.empty(len(asks), dtype=record)
-        for f in A.ASK.names:
-            out[f] = asks[f]
-        at = (base + asks["pos"])[:, None]
-        left, right = at - 1 - np.arange(max(most, 1))[None, :], at + np.arange(window)[None, :]
-        out["left"] = words[np.where(left >= base[:, None], left, len(starts))]
-        out["right"] = words[np.where(right < last[:, None], right, len(starts))]
-        return out
-
-    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS, deal=partial(A.by_key, shards=shards))
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in A.grouped(batches):
-            rec = np.concatenate([np.frombuffer(b, dtype=record) for _, b in held])
-            info = np.empty(len(rec), dtype=[("key", "u8"), ("back", "u2"), ("near", "u2"), ("doc", "i8")])
-            for f in info.dtype.names:
-                info[f] = rec[f]
-            sides = [np.ascontiguousarray(rec[s].astype(">u4")).view(np.uint8).reshape(len(rec), -1) for s in ("right", "left")]
-            spans = A.spans_of(rec, subtree(info, *sides, window), window)
-            yield A.blobs(list(A.by_chunk(A.SPANS, spans, chunks, A.chunk_of(spans["doc"], chunks))))
-
-    found = open_.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(resolve, A.BLOBS)
+    gram, windows = min(GRAM, window), (window,)
+    record = A.record_type("<u4", gram, windows)
+    sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=True), "runs")
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, True, group), "judged")
+    found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, subtree, windows, shards, chunks, parts, True, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
         rows = []
@@ -103,5 +79,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         doc = pa.array([None if x == A.NO_ID else x for x in ids.tolist()], pa.int64())
         return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip((n, gone, digest, places, kept), kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
-    spans = flags.where(F.col("kind") == A.SPANS).unionByName(found)
+    spans = sent.unionByName(flags).where(F.col("kind") == A.SPANS).unionByName(found)
     return A.meet(docs, spans, A.SPAN, chunks, parts, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string")

@@ -20,7 +20,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), reported=substrings.REPORTED)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,13 @@
 """Repeated byte strings removed with a logarithmic family of suffix arrays.
 
-Suffixes are sampled and dealt as ``anchors`` tells. A shard of the index takes its open suffixes in batches: a new batch
-gets suffix arrays (to the right and to the left of the anchors), is merge-scanned with the levels there are for windows
-in common, and levels of one size merge, so that each suffix is merged a logarithmic number of times.
+Suffixes are sampled and dealt as ``anchors`` tells. An index family takes its suffixes in batches: a new batch gets
+suffix arrays (to the right and to the left of the anchors) and is merge-scanned with each level there is for windows in
+common; then levels of one size merge, so that each suffix is merged a logarithmic number of times.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +17,9 @@ from pyspark.sql import functions as F
 from lexiquarry.llm import anchors as A
 from lexiquarry.llm.common import BYTE_VALUES, materialise, parts_for, prefix_sums, span_hashes
 
-LENGTH, GRAM = 400, 32
-BATCH = 1024
+#: Bytes of a string that is removed, of one that is only reported, and of an anchor.
+LENGTH, REPORTED, GRAM = 400, 200, 32
+BATCH = 512
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
@@ -30,11 +29,17 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     return grams, offsets, lambda s, e: span_hashes(sums, s, e)
 
 
+def _read(data: np.ndarray, offsets: np.ndarray):
+    sums = prefix_sums(BYTE_VALUES[data])
+    return np.append(data, np.uint8(0)), offsets, lambda s, e: span_hashes(sums, s, e)
+
+
 class IndexFamily:
-    """Levels of suffix arrays of 1, 2, 4 .. batches; scanning tells which windows occur twice."""
+    """Levels of suffix arrays of 1, 2, 4 .. batches; ``marks`` tells which windows of each run occur twice."""
 
-    def __init__(self, length: int):
-        self.length, self.levels, self.marked = length, [], {}
+    def __init__(self, length: int, runs: int):
+        self.length, self.levels = length, []
+        self.marks = np.zeros((runs, length), dtype=bool)
 
     def _scan(self, level: A.Suffixes) -> None:
         def settle(offset: int, members: np.ndarray, classes: np.ndarray) -> None:
@@ -43,88 +48,61 @@ class IndexFamily:
 
         level.scan(self.length, 1, settle)
 
-    def fill(self, info: np.ndarray, right: np.ndarray, left: np.ndarray, batch: int = BATCH) -> np.ndarray:
-        """Takes all runs, batch by batch; a row of marks by offset for each."""
-        self.marks = np.zeros((len(info), self.length), dtype=bool)
-        for s in range(0, len(info), batch):
-            self.add(A.Suffixes(info[s : s + batch], right[s : s + batch], left[s : s + batch]))
-        while len(self.levels) > 1:
-            self._push(0, self._join())
-        return self.marks
-
-    def _join(self) -> A.Suffixes:
-        (_, a), (_, b) = self.levels.pop(), self.levels.pop()
-        both = b.merge(a)
-        self._scan(both)
-        return both
-
-    def _push(self, rank: int, level: A.Suffixes) -> None:
-        self.levels.append((rank, level))
-
-    def add(self, level: A.Suffixes) -> None:
-        self._scan(level)
-        self._push(0, level)
+    def add(self, new: A.Suffixes) -> None:
+        """A batch meets itself and every level; levels of one rank then merge, which needs no scan."""
+        keys = np.unique(new.info["key"])
+        self._scan(new)
+        for _, level in self.levels:
+            shared = level.having(keys)
+            if len(shared):
+                self._scan(shared.merge(new))
+        self.levels.append((0, new))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            rank = self.levels[-1][0] + 1
-            self._push(rank, self._join())
+            (rank, b), (_, a) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, a.merge(b)))
+
+
+def family_marks(rec: np.ndarray, length: int, batch: int = BATCH) -> np.ndarray:
+    """A row of marks by offset for each run: windows that some other run has too."""
+    info = np.empty(len(rec), dtype=[("key", "u8"), ("back", "u2"), ("near", "u2"), ("at", "i8")])
+    info["key"], info["back"], info["near"], info["at"] = rec["key"], rec["back"], rec["near"], np.arange(len(rec))
+    family = IndexFamily(length, len(rec))
+    left, right = rec["left"][:, : length - 1], rec["right"][:, :length]
+    for s in range(0, len(rec), batch):
+        family.add(A.Suffixes(info[s : s + batch], right[s : s + batch], left[s : s + batch]))
+    return family.marks
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (binary).
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reported: int | None = None, group: int = A.GROUP) -> DataFrame:
+    """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, spans, kept (binary).
 
-    A byte goes if a string of ``length`` bytes over it also starts elsewhere in any document, its own included. Null
-    texts are empty. Repeated rows are documents of their own, hence each other's copies; null ids are kept. No rows give
-    no rows. Strings are equal if their bytes are, or their runs' keys and 64-bit fingerprints of all their bytes.
+    A byte goes if a string of ``length`` bytes over it also starts elsewhere in any document, its own included.
+    n_repeated counts the bytes under strings of ``reported`` bytes that do so (of ``length`` if it is None): what stays
+    but is found elsewhere as well. Null texts are empty. Repeated rows are documents of their own, hence each other's
+    copies; null ids are kept. No rows give no rows. Strings are equal if their bytes are, or 64-bit hashes of all bytes
+    of the runs that hold them, or of their own where more than ``group`` suffixes share an anchor.
     """
-    parts = parts_for(df)
-    shards = chunks = parts
+    shards = chunks = parts = parts_for(df)
     docs = A.numbered(df, id_col, text_col)
-    gram, most = min(GRAM, length), length - min(GRAM, length)
-    record = np.dtype([*A.ASK.descr, ("left", "u1", (most,)), ("right", "u1", (length,))])
-    flags = materialise(A.judged(A.sampled(docs, _units, gram, length, shards), length, chunks, parts, earlier_only=False), "runs")
-
-    def context(ids, data, offsets, asked) -> np.ndarray | None:
-        rows = [(i, a) for i, a in enumerate(asked) if a is not None]
-        if not rows:
-            return None
-        asks = np.concatenate([a for _, a in rows])
-        base = np.repeat([offsets[i] for i, _ in rows], [len(a) for _, a in rows]).astype(np.int64)
-        ends = np.repeat([offsets[i + 1] for i, _ in rows], [len(a) for _, a in rows]).astype(np.int64)
-        out = np.empty(len(asks), dtype=record)
-        for f in A.ASK.names:
-            out[f] = asks[f]
-        padded = np.concatenate([data, np.zeros(1, np.uint8)])
-        at = (base + asks["pos"])[:, None]
-        left, right = at - 1 - np.arange(most)[None, :], at + np.arange(length)[None, :]
-        out["left"] = padded[np.where(left >= base[:, None], left, len(data))]
-        out["right"] = padded[np.where(right < ends[:, None], right, len(data))]
-        return out
-
-    open_ = A.meet(docs, flags.where(F.col("kind") == A.ASKED), A.ASK, chunks, parts, context, A.BLOBS, deal=partial(A.by_key, shards=shards))
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in A.grouped(batches):
-            rec = np.concatenate([np.frombuffer(b, dtype=record) for _, b in held])
-            info = np.empty(len(rec), dtype=[("key", "u8"), ("back", "u2"), ("near", "u2"), ("at", "i8")])
-            info["key"], info["back"], info["near"], info["at"] = rec["key"], rec["back"], rec["near"], np.arange(len(rec))
-            marks = IndexFamily(length).fill(info, rec["right"], rec["left"])
-            todo = ~rec["known"]
-            spans = A.spans_of(rec[todo], marks[todo], length)
-            yield A.blobs(list(A.by_chunk(A.SPANS, spans, chunks, A.chunk_of(spans["doc"], chunks))))
-
-    found = open_.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(resolve, A.BLOBS)
+    windows = (length,) if reported is None else (length, reported)
+    gram = min(GRAM, *windows)
+    record = A.record_type("u1", gram, windows)
+    sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=False), "runs")
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, False, group), "judged")
+    found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, family_marks, windows, shards, chunks, parts, False, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
         rows = []
         for s, e, mine in zip(offsets.tolist(), offsets[1:].tolist(), spans):
             raw = data[s:e].tobytes()
-            start, end = A.union(mine)
+            start, end = A.union(None if mine is None else mine[mine["w"] == 0])
+            seen, until = A.union(mine)
             kept = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)])) if len(start) else raw
-            rows.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())], kept))
-        n, gone, k, digest, places, kept = zip(*rows)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+            places = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())]
+            rows.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), int((until - seen).sum()), places, kept))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         doc = pa.array([None if x == A.NO_ID else x for x in ids.tolist()], pa.int64())
-        return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip((n, gone, k, digest, places, kept), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans", "kept"])
 
-    spans = flags.where(F.col("kind") == A.SPANS).unionByName(found)
-    return A.meet(docs, spans, A.SPAN, chunks, parts, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    spans = sent.unionByName(flags).where(F.col("kind") == A.SPANS).unionByName(found)
+    return A.meet(docs, spans, A.SPAN, chunks, parts, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")

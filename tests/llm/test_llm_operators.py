@@ -115,22 +115,25 @@ def cover(n, starts, length):
     return gone
 
 
-@pytest.mark.parametrize("length", [400, 40])
-def test_substrings(docs, none, length):
+@pytest.mark.parametrize(("length", "reported", "group"), [(400, 200, 2048), (40, 34, 2), (40, None, 3)])
+def test_substrings(docs, none, length, reported, group):
+    """Whole and part repeats; a small group makes prefixes long."""
     raw = [(r.text or "").encode() for r in docs.collect()]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    seen = Counter(b[i : i + n] for n in {length, reported or length} for b in raw for i in range(len(b) - n + 1))
     want = Counter()
     for r, b in zip(docs.collect(), raw):
         gone = cover(len(b), [i for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1], length)
-        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        want[(r.doc_id, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
-    got = Counter(tuple(r) for r in substrings.remove_repeats(docs, length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        kept, n = bytes(np.frombuffer(b, np.uint8)[~gone]), reported or length
+        told = cover(len(b), [i for i in range(len(b) - n + 1) if seen[b[i : i + n]] > 1], n)
+        want[(r.doc_id, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest(), int(told.sum()))] += 1
+    found = substrings.remove_repeats(docs, length=length, reported=reported, group=group)
+    got = Counter(tuple(r) for r in found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated").collect())
     assert got == want
     assert substrings.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("window", [13, 5])
-def test_passages(docs, none, window):
+@pytest.mark.parametrize(("window", "group"), [(13, 2048), (13, 2), (5, 3)])
+def test_passages(docs, none, window, group):
     words = [((r.doc_id if r.doc_id is not None else 2**62), re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())) for r in docs.collect()]
     first: dict = {}
     for i, w in words:
@@ -142,7 +145,7 @@ def test_passages(docs, none, window):
         gone = cover(len(w), [j for j in range(len(w) - window + 1) if first[tuple(w[j : j + window])] < i], window)
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         want[(None if i == 2**62 else i, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest())] += 1
-    got = Counter(tuple(r) for r in passages.remove_repeats(docs, window=window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    got = Counter(tuple(r) for r in passages.remove_repeats(docs, window=window, group=group).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
     assert got == want
     assert passages.remove_repeats(none).count() == 0
 
@@ -152,13 +155,18 @@ def test_index_family_merges():
     rng = np.random.default_rng(3)
     length, n = 12, 700
     text = rng.integers(97, 99, size=(n, 2 * length - 1), dtype=np.uint8)
-    info = np.zeros(n, dtype=[("key", "u8"), ("back", "u2"), ("near", "u2"), ("at", "i8")])
-    info["key"], info["back"], info["at"] = text[:, length - 1] % 2, length - 1, np.arange(n)
-    family = substrings.IndexFamily(length)
-    marks = family.fill(info, text[:, length - 1 :], text[:, : length - 1][:, ::-1], batch=32)
-    seen = Counter((k, o, bytes(t[length - 1 - o : 2 * length - 1 - o])) for k, t in zip(info["key"], text) for o in range(length))
-    want = [[seen[(k, o, bytes(t[length - 1 - o : 2 * length - 1 - o]))] > 1 for o in range(length)] for k, t in zip(info["key"], text)]
-    assert (marks == np.array(want)).all() and len(family.levels) == 1
+    rec = np.zeros(n, dtype=anchors.record_type("u1", 1, (length,)))
+    rec["key"], rec["back"] = text[:, length - 1] % 2, length - 1
+    rec["right"], rec["left"] = text[:, length - 1 :], text[:, : length - 1][:, ::-1]
+    seen = Counter((k, o, bytes(t[length - 1 - o : 2 * length - 1 - o])) for k, t in zip(rec["key"], text) for o in range(length))
+    want = [[seen[(k, o, bytes(t[length - 1 - o : 2 * length - 1 - o]))] > 1 for o in range(length)] for k, t in zip(rec["key"], text)]
+    assert (substrings.family_marks(rec, length, batch=32) == np.array(want)).all()
+    family, sizes = substrings.IndexFamily(length, 7 * 32), []
+    info = np.zeros(7 * 32, dtype=[("key", "u8"), ("back", "u2"), ("near", "u2"), ("at", "i8")])
+    for s in range(0, 7 * 32, 32):
+        family.add(anchors.Suffixes(info[s : s + 32], rec["right"][s : s + 32], rec["left"][s : s + 32]))
+        sizes.append([len(x) for _, x in family.levels])
+    assert sizes == [[32], [64], [64, 32], [128], [128, 32], [128, 64], [128, 64, 32]]
 
 
 def test_window_minima():
@@ -177,8 +185,8 @@ def test_prints_are_whole(spark):
 
     letters = lambda seed, n: bytes(np.random.default_rng(seed).integers(97, 123, n, dtype=np.uint8)).decode()
     rows = [(i, letters(i, 60) + letters(999, 39) + letters(100 + i, 60)) for i in range(50)]
-    sent = anchors.sampled(spark.createDataFrame(rows, "doc_id long, text string"), units, 32, 40, 1)
-    kinds = {r.kind for r in anchors.judged(sent, 40, 1, 1, earlier_only=False).collect()}
+    sent = anchors.sampled(spark.createDataFrame(rows, "doc_id long, text string"), units, 32, (40,), 1, 1, earlier_only=False)
+    kinds = {r.kind for r in anchors.judged(sent, (40,), 1, 1, 1, earlier_only=False).collect()}
     assert kinds == {anchors.ASKED}
 
 
