@@ -1,14 +1,16 @@
 """Exact top-k by inner product as a Voronoi join.
 
-Queries are grouped by the nearest of a few pivots. From a group's radius u around its pivot p, any score of its
-queries with a row o lies in p.o - u|o| .. p.o + u|o|. Every part of the data sends its best k + 1 lower bounds for
-each group; the (k + 1)-th best of all is the group's threshold, and a row is sent only to the groups whose threshold
-its upper bound reaches. Groups are solved in slices of bounded size, and the slices' best are merged.
+A bounded number of pivots cut both sides into cells. Summaries tell a cell's count, its radius around the pivot and the
+longest vector in it. For queries q of cell i around p with radius u, any score with a row o lies in p.o - u|o| .. p.o +
+u|o|; the best lower bounds of all rows give the cell's threshold. Cells of data whose summary can't reach it are left out
+for that cell of queries as a whole; of other cells those rows are sent whose own upper bound reaches it. Near cells of
+queries are solved together, large ones in blocks, over slices of rows, and the slices' best are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from lexiquarry.llm.common import materialise, parts_for
 SCALE, TOP, EVERY = 64, 20, 20
 #: Queries in a group, and rows that a group meets in one task, about.
 GROUP_QUERIES, SLICE_ROWS = 512, 32_768
+#: Rows of a cell, about, and pivots at most: they and the summaries are all that the driver gathers.
+CELL_ROWS, PIVOTS = 512, 256
 
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -36,7 +40,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             cells = [flat[s:e].astype("<f8").tobytes() for s, e in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cells, pa.binary())], ["vec_id", "v"])
 
-    return rows.where(whole).mapInArrow(run, "vec_id long, v binary").distinct()
+    return rows.where(whole).mapInArrow(run, "vec_id long, v binary")
 
 
 def _matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
@@ -75,13 +79,31 @@ def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray
     return top, score
 
 
+@dataclass
+class Plan:
+    """What the summaries decide. Arrays by cell of queries (i) and of data (j); group numbers of a cell's blocks."""
+
+    pivots: np.ndarray
+    radius: np.ndarray  # of the queries of a cell; -1 where there are none
+    least: np.ndarray  # score that a row must be able to reach to matter to a cell's queries
+    meets: np.ndarray  # [j, i]: whether a row of data cell j can matter to queries of cell i
+    first: np.ndarray
+    blocks: np.ndarray
+    slices: list[int]  # by group
+
+    def excluded(self) -> float:
+        """Share of the pairs of cells that the summaries alone leave out."""
+        asked = self.meets[:, self.radius >= 0]
+        return 1.0 - float(asked.mean()) if asked.size else 0.0
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner product for each row whose id is
     divisible by ``every``; ties go to the smaller id.
 
-    Rows with a null id, a null or empty vector, or a null or non-finite component take no part. Equal rows count once;
-    rows that share the query's id are its own. Vectors score only with those of their length. Fewer than k candidates
-    give fewer rows, none none. The driver gathers the pivots and thresholds of the groups.
+    Rows with a null id, a null or empty vector, or a null or non-finite component take no part. Repeated rows are
+    candidates each; a query asked twice has one answer, and rows of its id, its own among them, aren't in it. Vectors
+    score only with those of their length. Fewer than k candidates give fewer rows, none none.
     """
     spark = df.sparkSession
     rows = materialise(vectors(df, id_col, vector_col, scale).withColumn("width", (F.length("v") / 8).cast("int")), "vectors")
@@ -95,52 +117,116 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_width(data: DataFrame, width: int, k: int, every: int) -> DataFrame:
-    asked = data.where(F.col("vec_id") % every == 0)
-    many, total = asked.count(), data.count()
-    groups = max(1, -(-many // GROUP_QUERIES))
-    seeds = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(groups).collect()
-    pivots = np.array([np.frombuffer(r["v"], dtype="<f8") for r in seeds]).reshape(-1, width)
+def _pivots(data: DataFrame, width: int) -> np.ndarray:
+    n = int(min(PIVOTS, max(1, -(-data.count() // CELL_ROWS))))
+    return np.array([np.frombuffer(r["v"], dtype="<f8") for r in data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()]).reshape(-1, width)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cells(data: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+    """(vec_id, v, cell, far, norm): the nearest pivot, its distance and the vector's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column("v"), width)
-            gap = (q**2).sum(axis=1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(axis=1)[None, :]
+            x = _matrix(batch.column("v"), width)
+            gap = (x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)[None, :]
             near = gap.argmin(axis=1)
-            far = np.sqrt(((q - pivots[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column("vec_id"), batch.column("v"), pa.array(far)], ["g", "query_id", "q", "far"])
+            far, norm = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)), pa.array(far), pa.array(norm)], ["vec_id", "v", "cell", "far", "norm"])
+
+    return data.mapInArrow(run, "vec_id long, v binary, cell int, far double, norm double")
+
 
-    queries = materialise(asked.mapInArrow(nearest, "g int, query_id long, q binary, far double"), "queries")
-    radius = np.zeros(len(pivots))
-    for r in queries.groupBy("g").agg(F.max("far").alias("far")).collect():
-        radius[r["g"]] = r["far"]
+def _thresholds(data: DataFrame, pivots: np.ndarray, radius: np.ndarray, width: int, need: int) -> np.ndarray:
+    """For each cell of queries the need-th best of all rows' lower bounds; -inf where there are fewer."""
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = np.zeros((0, len(pivots)))
         for batch in batches:
             x = _matrix(batch.column("v"), width)
-            if not len(x):
-                continue
-            bound = x @ pivots.T - radius[None, :] * np.sqrt((x**2).sum(axis=1))[:, None]
-            tops = -np.sort(-bound, axis=0)[: k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(pivots), dtype=np.int32), len(tops))), pa.array(tops.ravel())], ["g", "bound"])
+            bound = x @ pivots.T - np.maximum(radius, 0)[None, :] * np.sqrt((x**2).sum(axis=1))[:, None]
+            tops = -np.sort(-np.concatenate([tops, bound]), axis=0)[:need]
+        if len(tops):
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(pivots), dtype=np.int32), len(tops))), pa.array(tops.ravel())], ["cell", "bound"])
 
-    ranked = Window.partitionBy("g").orderBy(F.desc("bound"))
+    ranked = Window.partitionBy("cell").orderBy(F.desc("bound"))
     least = np.full(len(pivots), -np.inf)
-    for r in data.mapInArrow(lower, "g int, bound double").withColumn("n", F.row_number().over(ranked)).where(F.col("n") == k + 1).collect():
-        least[r["g"]] = r["bound"]
-    deal = max(1, -(-total // SLICE_ROWS))
+    for r in data.select("v").mapInArrow(lower, "cell int, bound double").withColumn("n", F.row_number().over(ranked)).where(F.col("n") == need).collect():
+        least[r["cell"]] = r["bound"]
+    return least - 1e-6 * (1 + np.where(np.isfinite(least), np.abs(least), 0))
+
+
+def _groups(pivots: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of each cell of queries: near cells share one, large ones have several."""
+    first, blocks = np.zeros(len(asked), dtype=np.int64), np.ones(len(asked), dtype=np.int64)
+    left, group = set(np.flatnonzero(asked).tolist()), 0
+    while left:
+        seed = max(left, key=lambda i: (asked[i], -i))
+        if asked[seed] > GROUP_QUERIES:
+            first[seed], blocks[seed] = group, -(-asked[seed] // GROUP_QUERIES)
+            group += int(blocks[seed])
+            left.discard(seed)
+            continue
+        room = GROUP_QUERIES
+        for i in sorted(left, key=lambda i: (float(((pivots[i] - pivots[seed]) ** 2).sum()), i)):
+            if asked[i] <= room:
+                first[i], room = group, room - int(asked[i])
+                left.discard(i)
+        group += 1
+    return first, blocks
+
+
+def plan(data: DataFrame, pivots: np.ndarray, width: int, k: int, every: int) -> Plan:
+    """data: rows of ``cells``. Two aggregates by cell, and the thresholds."""
+    n = len(pivots)
+    count, far, norm, asked, radius = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64), np.full(n, -1.0)
+    for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect():
+        count[r["cell"]], far[r["cell"]], norm[r["cell"]] = r["n"], r["far"], r["norm"]
+    queries = data.where(F.col("vec_id") % every == 0)
+    for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        asked[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    own = queries.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    least = _thresholds(data, pivots, radius, width, k + own)
+    size = np.sqrt((pivots**2).sum(axis=1))
+    # p_i.o + u_i|o| for any o of cell j: its offset from p_j adds at most |p_i| times the cell's radius
+    most = pivots @ pivots.T + far[:, None] * size[None, :] + norm[:, None] * np.maximum(radius, 0)[None, :]
+    meets = (most * (1 + 1e-9) + 1e-6 >= least[None, :]) & (count > 0)[:, None] & (radius >= 0)[None, :]
+    first, blocks = _groups(pivots, asked)
+    rows = np.zeros(int((first + blocks)[asked > 0].max(initial=0)))
+    for g in range(len(rows)):
+        mine = (asked > 0) & (first <= g) & (g < first + blocks)
+        rows[g] = count[meets[:, mine].any(axis=1)].sum()
+    return Plan(pivots, radius, least, meets, first, blocks, [max(1, -(-int(r) // SLICE_ROWS)) for r in rows])
+
+
+def _search_width(rows: DataFrame, width: int, k: int, every: int) -> DataFrame:
+    pivots = _pivots(rows, width)
+    data = materialise(cells(rows, pivots, width), "cells")
+    p = plan(data, pivots, width, k, every)
+    first, blocks, deal = p.first, p.blocks, np.array(p.slices or [1])
+    asked = np.flatnonzero(p.radius >= 0)
+    groups = [(int(first[i]) + b, int(i)) for i in asked for b in range(int(blocks[i]))]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cell = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("cell").to_numpy(zero_copy_only=False)
+            g = first[cell] + (ids.astype(np.uint64) // np.uint64(max(every, 1)) % blocks[cell].astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(ids)), deal[g])
+            s = np.arange(len(at)) - np.repeat(np.cumsum(deal[g]) - deal[g], deal[g])
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].astype(np.int32)), pa.array(s), pa.array(ids[at]), batch.column("v").take(pa.array(at))], ["g", "s", "query_id", "q"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"), width)
-            bound = x @ pivots.T + radius[None, :] * np.sqrt((x**2).sum(axis=1))[:, None]
-            at, g = np.nonzero(bound >= least[None, :] - 1e-6 * (1 + np.abs(least[None, :])))
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array((np.abs(ids[at] * 2654435761) >> 7) % deal), pa.array(ids[at]), batch.column("v").take(pa.array(at))], ["g", "s", "vec_id", "v"])
-
-    n = max(parts_for(data), 1)
-    left = queries.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
-    right = data.mapInArrow(replicate, "g int, s long, vec_id long, v binary")
+            x, cell = _matrix(batch.column("v"), width), batch.column("cell").to_numpy(zero_copy_only=False)
+            ids, norm = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("norm").to_numpy()
+            reach = np.zeros((len(x), len(deal)), dtype=bool)
+            sure = 1e-9 * norm[:, None] * np.sqrt((p.pivots[asked] ** 2).sum(axis=1))[None, :]
+            hits = p.meets[cell][:, asked] & (x @ p.pivots[asked].T + p.radius[asked][None, :] * norm[:, None] + sure >= p.least[asked][None, :])
+            column = {int(i): c for c, i in enumerate(asked)}
+            for g, i in groups:
+                reach[:, g] |= hits[:, column[i]]
+            at, g = np.nonzero(reach)
+            s = (np.abs(ids[at] * 2654435761) >> 7) % deal[g]
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(s), pa.array(ids[at]), batch.column("v").take(pa.array(at))], ["g", "s", "vec_id", "v"])
 
     def solve(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if asks.empty or rows.empty:
@@ -148,7 +234,12 @@ def _search_width(data: DataFrame, width: int, k: int, every: int) -> DataFrame:
         own, ids = asks["query_id"].to_numpy(), rows["vec_id"].to_numpy()
         top, score = best(_matrix(asks["q"], width), own, ids, _matrix(rows["v"], width), k)
         at, j = np.nonzero(top >= 0)
-        key = pd.util.hash_array(asks["q"].to_numpy(dtype=object), categorize=False).astype("int64") if asks["query_id"].duplicated().any() else np.zeros(len(own), dtype=np.int64)
+        key = pd.util.hash_array(asks["q"].to_numpy(dtype=object), categorize=False).astype("int64") if again else np.zeros(len(own), dtype=np.int64)
         return pd.DataFrame({"query_id": own[at], "query_key": key[at], "vec_id": ids[top[at, j]], "score": np.array([int(x) for x in score[at, j]], dtype=np.int64)})
 
+    n = parts_for(data)
+    queries = data.where(F.col("vec_id") % every == 0).select("vec_id", "v", "cell").distinct()
+    again = not queries.groupBy("vec_id").count().where("count > 1").isEmpty()
+    left = queries.mapInArrow(ask, "g int, s long, query_id long, q binary")
+    right = data.select("vec_id", "v", "cell", "norm").mapInArrow(replicate, "g int, s long, vec_id long, v binary")
     return left.repartition(n, "g", "s").groupBy("g", "s").cogroup(right.repartition(n, "g", "s").groupBy("g", "s")).applyInPandas(solve, "query_id long, query_key long, vec_id long, score long")

@@ -238,24 +238,56 @@ def test_isotonic():
     assert (np.diff(y) >= 0).all() and np.interp([1, 2.5, 4], x, y).tolist() == [0, 0.5, 1]
 
 
-def test_knn(spark):
+@pytest.fixture
+def small_groups(monkeypatch):
+    """Few queries and rows a group, so that blocks, slices and shared groups all occur."""
+    for name, n in (("GROUP_QUERIES", 3), ("SLICE_ROWS", 50), ("CELL_ROWS", 20)):
+        monkeypatch.setattr(knn, name, n)
+
+
+def plain_top(vecs, k=20, every=20):
+    ok = [(i, np.floor(64 * np.float32(v).astype(float))) for i, v in vecs if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = {}
+    for q, v in ok:
+        if q % every == 0:
+            scores = sorted((-int(v @ o), i) for i, o in ok if i != q and len(o) == len(v))[:k]
+            want |= {(q, n): (i, -s) for n, (s, i) in enumerate(scores, 1)}
+    return want
+
+
+def awkward_vectors():
     rng = np.random.default_rng(6)
     vecs = [(i, rng.normal(size=8).tolist()) for i in range(200)]
-    vecs += [(200, vecs[3][1]), (201, vecs[3][1]), (220, None), (240, [float("nan")] * 8), (None, vecs[0][1]), (260, [None] * 8), (280, [1.0, 2.0]), (281, [2.0, 1.0]), (300, []), vecs[20]]
+    odd = [(200, vecs[3][1]), (201, vecs[3][1]), (220, None), (240, [float("nan")] * 8), (None, vecs[0][1]), (260, [None] * 8), (280, [1.0, 2.0]), (281, [2.0, 1.0]), (300, [])]
+    return [*vecs, *odd, *[vecs[20]] * 3, vecs[3], vecs[7]]  # a query three times, candidates twice
+
+
+def test_knn(spark):
+    vecs = awkward_vectors()
     table = spark.createDataFrame([(i, v, "x") for i, v in vecs], "vec_id long, embedding array<float>, score string")
-    ok = {i: np.floor(64 * np.float32(v).astype(float)) for i, v in vecs if i is not None and v and None not in v and np.isfinite(v).all()}
-    want = {}
-    for q in (i for i in ok if i % 20 == 0):
-        scores = sorted((-int(ok[q] @ ok[o]), o) for o in ok if o != q and len(ok[o]) == len(ok[q]))[:20]
-        want |= {(q, k): (o, -s) for k, (s, o) in enumerate(scores, 1)}
-    for groups in (512, 3):
-        knn.GROUP_QUERIES = groups
-        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.search(table).collect()}
-        assert got == want
-    knn.GROUP_QUERIES = 512
+    got = knn.search(table).collect()
+    assert len(got) == len({(r.query_id, r["rank"]) for r in got}) and {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == plain_top(vecs)
     assert knn.search(table.limit(0)).count() == 0
 
 
+def test_knn_in_small_groups(spark, small_groups):
+    vecs = awkward_vectors()
+    table = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.search(table).collect()} == plain_top(vecs)
+
+
+def test_knn_leaves_cells_out(spark, small_groups):
+    """Tight groups: the summaries exclude most pairs of cells, and nothing is lost."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(8, 16)) * 10
+    vecs = [(i, (centres[i % 8] + rng.normal(size=16) * 0.05).tolist()) for i in range(600)]
+    table = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.search(table).collect()} == plain_top(vecs)
+    rows = knn.vectors(table)
+    pivots = knn._pivots(rows, 16)
+    assert knn.plan(knn.cells(rows, pivots, 16), pivots, 16, 20, 20).excluded() > 0.5
+
+
 def test_packing(docs, none):
     encode = packing.encoder("byte_bpe_50k")
     for text in ("plain text's here", "Ünïcödé", "漢字 mixed   text", "<|endoftext|>"):
