@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import mix, slices, texts
+from lexiquarry.llm.common import dealt, mix, slices, texts
 
 NO_ID = np.iinfo(np.int64).max
 SPANS, ASKED, DOCUMENTS, RUNS = 0, 1, 2, 3
@@ -222,7 +222,7 @@ def judged(sent: DataFrame, windows: tuple[int, ...], shards: int, chunks: int,
             out += by_chunk(ASKED, asks, chunks, chunk_of(asks["doc"], chunks))
             yield blobs(out)
 
-    return sent.where(F.col("kind") == RUNS).repartition(parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
+    return dealt(sent.where(F.col("kind") == RUNS), parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
 
 
 def packed(docs: DataFrame, chunks: int) -> DataFrame:
@@ -282,7 +282,7 @@ def meet(docs: DataFrame, records: DataFrame, dtype: np.dtype, chunks: int, part
             if kept:
                 yield deal(*map(np.concatenate, zip(*kept)))
 
-    return rows.repartition(parts, "c").sortWithinPartitions("c", "kind").mapInArrow(run, schema)
+    return dealt(rows, parts, "c").sortWithinPartitions("c", "kind").mapInArrow(run, schema)
 
 
 def record_type(unit: str, size: int, windows: tuple[int, ...]) -> np.dtype:
@@ -370,7 +370,7 @@ def resolved(opened: DataFrame, record: np.dtype, settle: Callable, windows: tup
             spans = np.concatenate(found)
             yield blobs(list(by_chunk(SPANS, spans, chunks, chunk_of(spans["doc"], chunks))))
 
-    return opened.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
+    return dealt(opened, parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
 
 
 class Suffixes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,12 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one, which only a local
+    session's executors share; on a cluster that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="lexiquarry-")
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)
@@ -51,6 +55,27 @@ def parts_for(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+_labels: dict[int, list[int]] = {}
+
+
+def labels(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions the least number that Spark's hash partitioning sends there."""
+    if n not in _labels:
+        found: dict[int, int] = {}
+        span = int(n * (np.log(n + 1) + 8)) + 8
+        while len(found) < n:
+            for r in spark.range(span).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect():
+                found[r["at"]] = r["id"]
+            span *= 2
+        _labels[n] = [found[i] for i in range(n)]
+    return _labels[n]
+
+
+def dealt(df: DataFrame, n: int, column: str) -> DataFrame:
+    """df in n partitions, each row in that of its number in the column modulo n: none is empty and none has two by chance."""
+    return df.repartition(n, F.element_at(F.lit(labels(df.sparkSession, n)), (F.pmod(F.col(column), F.lit(n)) + 1).cast("int")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts record batches by bytes of text. Gives each piece with its text as bytes and the n + 1 offsets into them."""
     for batch in batches:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from lexiquarry.llm import anchors, components, fingerprints, golay, knn, langid, mixing, packing, passages, pii, simhash, substrings, toxicity
+from lexiquarry.llm import anchors, common, components, fingerprints, golay, knn, langid, mixing, packing, passages, pii, simhash, substrings, toxicity
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, c int, fp string"
@@ -407,6 +407,31 @@ def test_fingerprints(spark, docs, none):
     assert one.near_next == 1.0
 
 
+def test_likeness_by_fingerprints():
+    """Against the exact similarity of spans: cut, extended, edited within, and unrelated texts; strides that differ."""
+    rng = np.random.default_rng(9)
+    alphabet = np.array(list("abcdefghijklmnop qrstuvwxyz"))
+    make = lambda n: "".join(rng.choice(alphabet, n))
+    grams = lambda t: {t[i : i + fingerprints.SPAN] for i in range(len(t) - fingerprints.SPAN + 1)}
+    errors = []
+    for n in (40, 300, 3000, 20_000):
+        a, other = make(n), make(n)
+        for b in (a, a[: n - n // 3] + other[: n // 3], a[n // 2 :], a + other, other, a[: n // 3] + "X" + a[n // 3 :], other[: n // 4] + a):
+            points = [fingerprints._points(x) for x in (a, b)]
+            x, y = fingerprints.fingerprints(np.concatenate(points), np.array([0, len(a), len(a) + len(b)]))
+            assert (str(x) == str(y)) == (a == b) and len(x.head) <= fingerprints.MARKS
+            for end, common in (("head", next((i for i, (c, d) in enumerate(zip(a, b)) if c != d), min(len(a), len(b)))), ("tail", next((i for i, (c, d) in enumerate(zip(a[::-1], b[::-1])) if c != d), min(len(a), len(b))))):
+                assert 0 <= common - fingerprints.extension(x, y, end) < max(x.stride, y.stride) or common == min(len(a), len(b))
+            errors.append(fingerprints.likeness(x, y) - len(grams(a) & grams(b)) / len(grams(a) | grams(b)))
+    assert max(map(abs, errors)) < 0.2 and np.mean(np.abs(errors)) < 0.05
+
+
+def test_dealt(spark):
+    """Every number has a partition of its own, whatever Spark's hash makes of it."""
+    got = common.dealt(spark.range(23).withColumn("c", F.col("id").cast("int")), 23, "c").select("c", F.spark_partition_id().alias("p")).collect()
+    assert all(r.c == r.p for r in got) and len(got) == 23
+
+
 PRIVATE = [
     "mail a.b+c@mail.example.org, x@y or _z@q.de.", "10.0.0.1 and 256.1.1.1 and 1.2.3.4.5", "4111 1111 1111 1111 or 4111-1111-1111-1112", "+1 (310) 555-4510 and +12 or +49 30 123456.",
     "a@b.c_d@e.f 000000255.0.0.1", None, "", "é漢 a@b.c é", "+1 2.3.4.5.6.7.8.9 a@b@c.d " + "z" * 5000,
