@@ -4,6 +4,8 @@ A source's documents are dealt by a seeded hash into shards, a shard's words (in
 most ``BLOCKS`` blocks of equal size (to a word), and whole numbers of block draws are apportioned, by highest
 quotients w / (2 s + 1), first to sources and then to the shards of each. A shard with q draws of n blocks takes every
 block q div n times and q mod n of them, by a seeded permutation, once more. No block is drawn more than ``MOST`` times.
+Numbers of blocks are powers of two, so that shards of a source fall into a few classes that quotients don't tell apart:
+the driver apportions to classes, and ranks within a class say which shards get the last seats.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import WORD
+from lexiquarry.llm.common import WORD, materialise
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
-#: Blocks in a shard at most (a power of two), words in a shard about, shards of a source at most.
-BLOCKS, SHARD_WORDS, MAX_SHARDS = 1024, 65536, 1024
+#: Blocks in a shard at most (a power of two), words in a shard about, shards that are ranked together.
+BLOCKS, SHARD_WORDS, RANKED = 1024, 65536, 4096
 SEED = 20240607
 
 
@@ -62,40 +64,73 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     return out
 
 
-def _blocks(words: int) -> int:
-    return min(BLOCKS, 1 << (words.bit_length() - 1)) if words else 0
+def class_seats(classes: dict[int, int], seats: int, most: int = MOST) -> dict[int, tuple[int, int]]:
+    """Sainte-Laguë for shards by class: {blocks: number of shards} to {blocks: (seats of each, shards with one more)}.
+
+    The same as ``sainte_lague`` with the blocks as weights and ``most`` times the blocks as caps. Powers of two over odd
+    numbers differ between classes, so only shards of one class ever tie.
+    """
+    kinds = sorted((b for b in classes if b > 0), reverse=True)
+    given = dict.fromkeys(kinds, 0)
+    left = min(seats, sum(most * b * classes[b] for b in kinds))
+    if kinds and left:
+        low, high = 0.0, 4.0 * kinds[0] + 1
+        at = lambda d: {b: min(most * b, int(b / d + 0.5)) for b in kinds}
+        for _ in range(200):  # high always gives too few seats, or as many as there are
+            mid = (low + high) / 2
+            low, high = (low, mid) if mid > 0 and sum(n * classes[b] for b, n in at(mid).items()) <= left else (mid, high)
+        given = at(high)
+        left -= sum(n * classes[b] for b, n in given.items())
+    more = dict.fromkeys(kinds, 0)
+    while left > 0:
+        b = max((b for b in kinds if given[b] < most * b), key=lambda b: b / (2 * given[b] + 1))
+        take = min(left, classes[b])
+        left -= take
+        given, more = (given | {b: given[b] + 1}, more) if take == classes[b] else (given, more | {b: take})
+    return {b: (given[b], more[b]) for b in kinds}
+
+
+def _ranks(shards: DataFrame) -> DataFrame:
+    """Adds each shard's rank (from 0) among those of its source and number of blocks, without a task for all of them."""
+    shards = shards.withColumn("part", F.col("shard") % F.greatest(F.lit(1), F.ceil(F.col("shards") / RANKED)).cast("int"))
+    own = F.row_number().over(Window.partitionBy("source_no", "n", "part").orderBy("shard")) - 1
+    parts = shards.groupBy("source_no", "n", "part").agg(F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("source_no", "n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return shards.withColumn("own", own).join(parts.withColumn("before", before).drop("many"), ["source_no", "n", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("own", "before", "part")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
     """One row for each row of df: doc_id, the columns to keep, source, size, source_size, target, taken, copies, extra.
 
     The mix takes the whole document ``copies`` times and the word ranges [start, end) of ``extra`` once more; taken
-    counts those words. Texts without words, null ones too, have size 0 and aren't taken; a null source is a source of its own, the last; null ids and repeated
-    rows are rows like any other. The same rows give the same mix. No rows give no rows. What the driver gathers is a
-    row for each source and at most ``MAX_SHARDS`` for each source's shards.
+    counts those words. Texts without words, null ones too, have size 0 and aren't taken; a null source is a source of
+    its own, the last; null ids and repeated rows are rows like any other. The same rows give the same mix. No rows give
+    no rows. What the driver gathers is a row for each source and each power of two up to ``BLOCKS``.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
     totals = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s if s is not None else ""))
     sizes = [totals[s] for s in names]
     aims = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-    plan = [(i, s, n, t, max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS)))) for i, (s, n, t) in enumerate(zip(names, sizes, aims))]
+    plan = [(i, s, n, t, max(1, -(-n // SHARD_WORDS))) for i, (s, n, t) in enumerate(zip(names, sizes, aims))]
     kind = rows.schema["source"].dataType.simpleString()
-    sources = spark.createDataFrame(plan, f"source_no int, name {kind}, source_size long, target double, shards int")
-    dealt = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
-    held = [(r[0], r[1], r[2]) for r in dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words")).orderBy("source_no", "shard").collect()]
-    per = _grouped(held)
-    n = np.array([sum(b for _, _, b in per.get(i, [])) for i in range(len(names))], dtype=np.int64)
+    sources = spark.createDataFrame(plan, f"source_no int, name {kind}, source_size long, target double, shards long")
+    deal = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("shards"))
+    dealt = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).withColumn("shard", deal)
+    blocks = F.when(F.col("words") >= BLOCKS, F.lit(BLOCKS)).when(F.col("words") > 0, F.expr("shiftleft(1, int(floor(log2(words))))")).otherwise(0)
+    held = dealt.groupBy("source_no", "shards", "shard").agg(F.sum("size").alias("words")).withColumn("n", blocks.cast("int"))
+    held = materialise(held, "shards")
+    classes: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
+    for r in held.groupBy("source_no", "n").agg(F.count("*").alias("many")).collect():
+        classes[r["source_no"]][r["n"]] = r["many"]
+    n = np.array([sum(b * c for b, c in classes[i].items()) for i in range(len(names))], dtype=np.int64)
     ratio = np.array([t / s if s else 0.0 for s, t in zip(sizes, aims)])
     draws = sainte_lague(ratio * n, round(float((ratio * n).sum())), MOST * n)
-    quotas = []
-    for i, total in enumerate(draws.tolist()):
-        shards = per.get(i, [])
-        each = sainte_lague(np.array([b for _, _, b in shards]), total, np.array([MOST * b for _, _, b in shards])) if shards else []
-        quotas += [(i, k, w, b, int(q)) for (k, w, b), q in zip(shards, each)]
-    shards = spark.createDataFrame(quotas, "source_no int, shard int, words long, n int, draws int")
-    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    quotas = [(i, b, each, more) for i, total in enumerate(draws.tolist()) for b, (each, more) in class_seats(classes[i], total).items()]
+    quota = spark.createDataFrame([*quotas, *((i, 0, 0, 0) for i in range(len(names)))], "source_no int, n int, each long, more long")
+    shards = _ranks(held).join(quota, ["source_no", "n"]).select("source_no", "shard", "words", "n", (F.col("each") + (F.col("rank") < F.col("more")).cast("long")).alias("draws"))
+    order = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed + 1)), "doc_id", "tie")
     placed = dealt.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("upto") - F.col("size"))
     placed = placed.join(shards, ["source_no", "shard"])
     turn = F.lit(2) * F.pmod(F.xxhash64("source_no", "shard", F.lit(seed + 2)), F.lit(BLOCKS // 2)) + 1
@@ -117,10 +152,3 @@ def taken_text() -> Column:
     parts = F.transform("extra", lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), " "))
     rest = F.when(F.size("extra") > 0, F.array(F.array_join(parts, "\n"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.array_repeat("text", F.col("copies")), rest)
-
-
-def _grouped(held: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for i, k, w in held:
-        out.setdefault(i, []).append((k, w, _blocks(w)))
-    return out

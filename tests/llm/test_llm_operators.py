@@ -373,6 +373,61 @@ def test_sainte_lague():
         assert mixing.sainte_lague(weights, seats, caps).tolist() == want.tolist()
 
 
+def test_class_seats():
+    """Classes of equal shards get what Sainte-Laguë gives the shards one by one."""
+    rng = np.random.default_rng(18)
+    for _ in range(60):
+        shards = (1 << rng.integers(0, 6, int(rng.integers(1, 30)))).tolist()
+        seats = int(rng.integers(0, 2 * sum(shards) + 5))
+        want = sorted(zip(shards, mixing.sainte_lague(np.array(shards), seats, 2 * np.array(shards)).tolist()))
+        got = mixing.class_seats(dict(Counter(shards)), seats)
+        assert want == sorted((b, each + (i < more)) for b, (each, more) in got.items() for i in range(shards.count(b)))
+    assert mixing.class_seats({}, 3) == {} and mixing.class_seats({0: 2}, 3) == {}
+
+
+def plain_mix(rows, seed, hashed):
+    """The mix by its definition, one word block after the other; hashed gives Spark's hashes."""
+    sizes: dict = {}
+    for r in rows:
+        sizes.setdefault(r["source"], []).append(r)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    words = {s: sum(r["size"] for r in sizes[s]) for s in names}
+    aims = dict(zip(names, mixing.targets([words[s] for s in names], [3, 1, 2, 3][: len(names)])))
+    shards = {}
+    for i, s in enumerate(names):
+        n = max(1, -(-words[s] // mixing.SHARD_WORDS))
+        for r in sizes[s]:
+            shards.setdefault((i, hashed(r, seed) % n), []).append(r)
+    blocks = {k: 0 if not (w := sum(r["size"] for r in v)) else min(mixing.BLOCKS, 1 << (w.bit_length() - 1)) for k, v in shards.items()}
+    of = [sum(b for (j, _), b in blocks.items() if j == i) for i in range(len(names))]
+    ratio = np.array([aims[s] / words[s] if words[s] else 0.0 for s in names])
+    seats = mixing.sainte_lague(ratio * np.array(of), round(float((ratio * np.array(of)).sum())), 2 * np.array(of))
+    return names, shards, blocks, dict(enumerate(seats.tolist()))
+
+
+def test_mixing_draws_by_definition(spark, monkeypatch):
+    """Each shard's words are drawn block by block: the draws of a source's shards add up to its seats."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    rows = [(i, sentence(i, 5 + i % 60), ["b", "a", None, "c"][i % 4]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed = table.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(mixing.SEED)).alias("h")).collect()
+    hashes = {r.doc_id: r.h for r in keyed}
+    plain = [{"doc_id": i, "size": len(t.split()), "source": s} for i, t, s in rows]
+    names, shards, blocks, seats = plain_mix(plain, mixing.SEED, lambda r, _: hashes[r["doc_id"]])
+    got = {r.doc_id: r for r in mixing.mix(table).collect()}
+    for i, _ in enumerate(names):
+        drawn = {}
+        for (j, k), mine in shards.items():
+            if j == i:
+                total, n = sum(r["size"] for r in mine), blocks[(j, k)]
+                taken = sum(got[r["doc_id"]].taken for r in mine)
+                near = [q for q in range(2 * n + 1) if abs(q * total / n - taken) < n + 1]  # blocks differ by a word
+                drawn[k] = (near, n)
+                copies = {got[r["doc_id"]].copies for r in mine}
+                assert len(copies) == 1 and all(q // n <= 2 for q in near) and near
+        assert sum(min(q) for q, _ in drawn.values()) <= seats[i] <= sum(max(q) for q, _ in drawn.values())
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, 250 / 3, 500 / 3]
     assert mixing.targets([0, 10], [3, 1]) == [0.0, 15.0] and mixing.targets([], []) == []
