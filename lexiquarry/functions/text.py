@@ -5,6 +5,7 @@ All of them stay on the JVM. Null in, null out, unless a docstring says otherwis
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,26 +32,32 @@ MEASUREMENTS = (
     r"\b\d{3,}\b",
 )
 MEASUREMENT = "|".join(MEASUREMENTS)
-#: (pattern, kind, base score); the highest base wins, the first of equals.
+#: Fixed values: (pattern, kind, base score); the highest base wins, the first of equals.
 CLAIMS = (
-    (r"we (?:found|discovered|observed|identified|detected)", "finding", 10),
-    (r"we (?:show|showed|demonstrated?|report|reveal(?:ed)?|establish(?:ed)?)", "finding", 10),
-    (r"(?:here|in this (?:study|work|paper|analysis))\s*,?\s*we", "finding", 9),
-    (r"our (?:results?|data|findings?|analysis|study|work)\s+(?:show|showed|suggests?|indicates?|demonstrates?|reveals?|supports?|confirms?)", "finding", 10),
-    (r"(?:results?|findings?|data|analysis)\s+(?:show|showed|suggests?|indicates?|demonstrates?|reveals?)\s+that", "finding", 8),
-    (r"we (?:conclude|propose|argue|suggest|hypothesi[sz]e)", "conclusion", 9),
-    (r"(?:these|our) (?:results?|findings?|data)\s+(?:support|suggest|imply|indicate|point to)", "conclusion", 9),
-    (r"(?:taken together|altogether|in summary|in conclusion|overall)", "conclusion", 8),
-    (r"this (?:study|work|paper)\s+(?:shows|showed|demonstrates|reveals|provides|establishes)", "finding", 8),
-    (r"(?:was (?:significantly|strongly|markedly)|(?:significantly|markedly)\s+(?:higher|lower|greater|increased|decreased|reduced|associated))", "quantified", 7),
-    (r"(?:associated with|correlated with|predicted|risk of)", "quantified", 5),
+    (r"\bwe (?:found|discovered|observed|identified|detected)\b", "finding", 10),
+    (r"\bwe (?:show|showed|demonstrate[d]?|report|reveal(?:ed)?|establish(?:ed)?)\b", "finding", 10),
+    (r"\b(?:here|in this (?:study|work|paper|analysis))\s*,?\s*we\b", "finding", 9),
+    (r"\bour (?:results?|data|findings?|analysis|study|work)\s+(?:show|showed|suggest|suggests|indicate|indicates|demonstrate|demonstrates|reveal|reveals|support|supports|confirm|confirms)\b", "finding", 10),
+    (r"\b(?:results?|findings?|data|analysis)\s+(?:show|showed|suggest|suggests|indicate|indicates|demonstrate|demonstrates|reveal|reveals)\s+that\b", "finding", 8),
+    (r"\bwe (?:conclude|propose|argue|suggest|hypothesi[sz]e)\b", "conclusion", 9),
+    (r"\b(?:these|our) (?:results?|findings?|data)\s+(?:support|suggest|imply|indicate|point to)\b", "conclusion", 9),
+    (r"\b(?:taken together|altogether|in summary|in conclusion|overall)\b", "conclusion", 8),
+    (r"\bthis (?:study|work|paper)\s+(?:shows|showed|demonstrates|reveals|provides|establishes)\b", "finding", 8),
+    (r"\bwas (?:significantly|strongly|markedly)\b|\b(?:significantly|markedly)\s+(?:higher|lower|greater|increased|decreased|reduced|associated)\b", "quantified", 7),
+    (r"\b(?:associated with|correlated with|predicted|risk of)\b", "quantified", 5),
 )
+#: Fixed value: words that make a claim weaker.
 HEDGE = r"(?i)\b(?:may|might|could|would|remains? unclear|further (?:work|study|research)|future (?:work|studies))\b"
 EXTENSIONS = "docx|txt|md|markdown|csv|tsv|nbib|ris|json"
 ANY_HTML = r"(?i)</?(?:h[1-6]|p|br|div|ul|ol|li|blockquote|b|i|em|strong|sup|sub|code|a|span|abbr|small|u)\b[^>]*>"
 BLOCK_HTML = r"(?i)</?(?:h[1-6]|p|br|div|ul|ol|li|blockquote|table|tr|td|th|section|article)\b[^>]*>"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c computed once however often f uses it: plans stay as long as the sum of their parts, not the product."""
+    return F.transform(F.array(c), f)[0]
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -99,13 +106,14 @@ def speech_sentences(c: Column, most: int = 240) -> Column:
 
 def hash_id(c: Column) -> Column:
     """djb2 over UTF-16 units modulo 2**32, in base 36."""
-    units = F.encode(c, "UTF-16BE")
-    step = F.aggregate(
-        F.filter(F.sequence(F.lit(0), F.octet_length(units)), lambda i: i * 2 < F.octet_length(units)),
-        F.lit(5381).cast("long"),
-        lambda h, i: (h * 33 + F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("long")).bitwiseAND(F.lit(4294967295)),
-    )
-    return F.lower(F.conv(step.cast("string"), 10, 36))
+
+    def step(units: Column) -> Column:
+        unit = lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("long")
+        many = (F.octet_length(units) / 2).cast("int")
+        places = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(5381).cast("long"), lambda h, i: (h * 33 + unit(i)).bitwiseAND(F.lit(4294967295)))
+
+    return F.when(c.isNotNull(), F.lower(F.conv(let(F.encode(c, "UTF-16BE"), step).cast("string"), 10, 36)))
 
 
 #: Fixed table: accented Latin letters and what they are without the accents.
@@ -138,36 +146,47 @@ def is_non_question(section: Column) -> Column:
 
 
 def is_reasonable_term(c: Column) -> Column:
-    short = F.length(c).between(2, 80) & (word_count(c) <= 8)
-    return short & c.rlike(r"[a-zA-ZÀ-ɏͰ-῿぀-鿿]") & ~c.contains("://") & ~c.contains("|") & ~F.trim(c).rlike(r"[.!?]$")
+    def reasonable(c: Column) -> Column:
+        short = F.length(c).between(2, 80) & (word_count(c) <= 8)
+        return short & c.rlike(r"[a-zA-ZÀ-ɏͰ-῿぀-鿿]") & ~c.contains("://") & ~c.contains("|") & ~F.trim(c).rlike(r"[.!?]$")
+
+    return let(c, reasonable)
 
 
 def is_useful_cloze(target: Column, sentence: Column) -> Column:
-    clean = squeeze(target)
-    key, n = normalize_key(clean), word_count(clean)
-    long = (n > 8) | (F.length(clean) > 72) | (F.length(clean) > F.length(sentence) * 0.48)
-    weak = (n == 1) & (F.length(clean) < 5) & ~clean.rlike(r"[A-Z0-9ωχκ]")
-    return (key != "") & ~key.isin(*GENERIC_CLOZE) & ~long & ~clean.rlike(r"[.!?;:]$") & ~weak
+    def useful(clean: Column) -> Column:
+        n = word_count(clean)
+        long = (n > 8) | (F.length(clean) > 72) | (F.length(clean) > F.length(sentence) * 0.48)
+        weak = (n == 1) & (F.length(clean) < 5) & ~clean.rlike(r"[A-Z0-9ωχκ]")
+        named = let(normalize_key(clean), lambda key: (key != "") & ~key.isin(*GENERIC_CLOZE))
+        return named & ~long & ~clean.rlike(r"[.!?;:]$") & ~weak
+
+    return let(squeeze(target), useful)
 
 
 def concise(c: Column, most: int = 420) -> Column:
     """At most so many characters, cut at the last sentence end if that is past 55 %, else at a word, with an ellipsis."""
-    clean = squeeze(c)
-    clip = F.substring(clean, 1, most + 1)
-    back = F.reverse(clip)
-    last = lambda mark: F.when(F.instr(back, mark[::-1]) > 0, F.length(clip) - F.instr(back, mark[::-1]) - len(mark) + 1).otherwise(-1)
-    sentence = F.greatest(last(". "), last("? "), last("! "))
-    end = F.when(sentence >= int(most * 0.55), sentence + 1).otherwise(last(" "))
-    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.trim(F.substring(clip, F.lit(1), F.greatest(F.lit(1), end))), F.lit("…")))
+
+    def cut(clip: Column) -> Column:
+        back = F.reverse(clip)
+        last = lambda mark: F.when(F.instr(back, mark[::-1]) > 0, F.length(clip) - F.instr(back, mark[::-1]) - len(mark) + 1).otherwise(-1)
+        sentence = F.greatest(last(". "), last("? "), last("! "))
+        end = let(sentence, lambda s: F.when(s >= int(most * 0.55), s + 1).otherwise(last(" ")))
+        return F.concat(F.trim(F.substring(clip, F.lit(1), F.greatest(F.lit(1), end))), F.lit("…"))
+
+    return let(squeeze(c), lambda clean: F.when(F.length(clean) <= most, clean).otherwise(let(F.substring(clean, 1, most + 1), cut)))
 
 
 def ensure_question_mark(c: Column) -> Column:
-    return F.when(F.trim(c).rlike("[?？]$"), F.trim(c)).otherwise(F.concat(F.trim(c), F.lit("?")))
+    return let(F.trim(c), lambda t: F.when(t.rlike("[?？]$"), t).otherwise(F.concat(t, F.lit("?"))))
 
 
 def question_from_heading(c: Column) -> Column:
     """A heading as a question: questions stay, inverted and bare interrogatives are put right, else a fixed template."""
-    h = bare_heading(c)
+    return let(bare_heading(c), _question)
+
+
+def _question(h: Column) -> Column:
     inverted = r"(?i)^(why|how)\s+(.+?)\s+(is|are|was|were|can|could|should|would|does|do|did)\s+(.+)$"
     rules = [
         (h.rlike("[?？]"), h),
@@ -200,7 +219,7 @@ def find_numbers(c: Column) -> Column:
 def score_claim(sentence: Column, section: Column) -> Column:
     """struct(kind, score, trigger) of a sentence that makes a claim, else null."""
     text = F.trim(sentence)
-    found = [F.struct(F.lit(base).alias("base"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"), F.regexp_extract(text, rf"(?i)\b{p}\b", 0).alias("trigger")) for i, (p, kind, base) in enumerate(CLAIMS)]
+    found = [F.struct(F.lit(base).alias("base"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"), F.regexp_extract(text, f"(?i){p}", 0).alias("trigger")) for i, (p, kind, base) in enumerate(CLAIMS)]
     best = F.array_max(F.filter(F.array(*found), lambda x: x["trigger"] != ""))
     able = F.length(text).between(40, 400) & ~text.rlike(r"(?i)^(table|figure|fig\.|equation)\b")
     score = best["base"] + F.least(F.lit(3), F.regexp_count(text, F.lit(MEASUREMENT))) - F.when(text.rlike(HEDGE), 3).otherwise(0)
@@ -399,26 +418,6 @@ def tidy_heading(c: Column) -> Column:
     return F.when((F.length(letters) >= 3) & (F.upper(letters) == letters), titled).otherwise(clean)
 
 
-#: Fixed value: characters that count as mathematical.
-MATH = r"[=≈≤≥<>±×÷∑∏∫√∞∂∇αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ^_{}|+−*/]"
-
-
-def math_density(c: Column) -> Column:
-    count = lambda p: F.regexp_count(F.trim(c), F.lit(p))
-    weight = 2 * count(MATH) + count(r"\d")
-    return weight / F.greatest(F.lit(1), weight + count("[A-Za-z]"))
-
-
-def looks_like_equation(c: Column) -> Column:
-    text = F.trim(c)
-    long = F.filter(F.split(text, r"\s+"), lambda w: w.rlike("^[A-Za-z]{3,}$"))
-    return F.length(text).between(3, 200) & ~text.rlike(r"^[A-Z][a-z]+ \d") & text.rlike("[=≈≤≥<>+−×÷∑∏∫]") & (F.size(long) <= 4) & (math_density(text) > 0.35)
-
-
-def is_page_number(c: Column) -> Column:
-    return F.trim(c).rlike(r"(?i)^[|\[(]?\s*(page\s*)?\d{1,4}\s*(of\s*\d{1,4})?\s*[)\]|]?$")
-
-
 def normalize_running(c: Column) -> Column:
     """A line as a running head: digits masked; null unless of 4 to 120 characters."""
     clean = squeeze(c)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiquarry.functions import python
 from lexiquarry.functions import text as T
 from lexiquarry.operators import blocks as B
 
 MAX_TERMS, MAX_CLOZES, MAX_SECTION_CARDS = 140, 60, 24
+#: Fixed patterns of questions, answers and definitions.
 MARK = r"\s*(?:\d+)?\s*[:.)\-–—]\s*"
 QUESTION, ANSWER = rf"(?i)^(?:q|question){MARK}(.+)$", rf"(?i)^(?:a|answer){MARK}(.+)$"
 BOTH = rf"(?i)^(.*?[?.!])\s+(?:a|answer){MARK}(.+)$"
@@ -124,14 +126,14 @@ def terms(parsed: DataFrame, blocks: DataFrame, marked: DataFrame) -> DataFrame:
     every = marked.where("card is not null").select("doc_id", F.lit(1).alias("phase"), "pos", none.alias("n"), "section", "card")
     every = every.unionByName(table_terms(blocks).withColumn("phase", F.lit(2))).unionByName(section_terms(parsed).withColumn("phase", F.lit(3)))
     rows = every.select("doc_id", F.struct("phase", "pos", "n").alias("at"), "section", F.trim("card.term").alias("term"), T.concise(F.col("card.definition")).alias("definition"), "card.source")
-    rows = rows.withColumn("key", T.normalize_key(F.col("term"))).where((F.col("key") != "") & (F.length("definition") >= 4))
+    rows = rows.withColumn("key", python.normalize_key(F.col("term"))).where((F.col("key") != "") & (F.length("definition") >= 4))
     new = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("at")) == 1
     order = Window.partitionBy("doc_id").orderBy("at")
     rows = rows.withColumn("new", new).withColumn("before", F.sum(F.col("new").cast("int")).over(order) - F.col("new").cast("int")).where(F.col("before") < MAX_TERMS)
     first = F.min_by(F.struct("term", "section", "source", "definition"), "at")
     best = F.max_by("definition", F.struct(F.length("definition").alias("l"), (-F.col("at.phase")).alias("p"), (-F.col("at.pos")).alias("q"), (-F.col("at.n")).alias("r")))
     cards = rows.groupBy("doc_id", "key").agg(F.min("at").alias("at"), first.alias("f"), best.alias("definition"))
-    ident = T.hash_id(F.concat_ws("|", F.lit("term"), "key", F.substring(T.normalize_key(F.col("f.definition")), 1, 40)))
+    ident = T.hash_id(F.concat_ws("|", F.lit("term"), "key", F.substring(python.normalize_key(F.col("f.definition")), 1, 40)))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
     return cards.select("doc_id", n.alias("n"), ident.alias("id"), "f.term", "definition", "f.section", "f.source")
 
@@ -149,9 +151,9 @@ def clozes(marked: DataFrame, cards: DataFrame) -> DataFrame:
     bold = F.filter(F.transform(F.filter("inlines", lambda r: r["kind"] == "bold"), lambda r: F.trim(r["text"])), lambda b: (b != "") & F.lower("sentence").contains(F.lower(b)) & T.is_useful_cloze(b, F.col("sentence")))
     longest = F.aggregate(bold, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     prose = prose.withColumn("bold", F.when((longest != "") & (F.length(longest) < F.length("sentence") * 0.8), longest))
-    known = cards.where((F.col("source") != "section") & (F.length("term") >= 3) & ~F.col("term").rlike("[?？]$")).select("doc_id", F.col("n").alias("tn"), "term", F.split(T.normalize_key(F.col("term")), " ")[0].alias("token"))
+    known = cards.where((F.col("source") != "section") & (F.length("term") >= 3) & ~F.col("term").rlike("[?？]$")).select("doc_id", F.col("n").alias("tn"), "term", F.split(python.normalize_key(F.col("term")), " ")[0].alias("token"))
     # a term can only stand in a sentence that has its first word: an equi-join, then the pattern
-    words = prose.where("bold is null").select("doc_id", "pos", "s", "sentence", F.explode(F.array_distinct(F.split(T.normalize_key(F.col("sentence")), " "))).alias("token"))
+    words = prose.where("bold is null").select("doc_id", "pos", "s", "sentence", F.explode(F.array_distinct(F.split(python.normalize_key(F.col("sentence")), " "))).alias("token"))
     found = words.join(known, ["doc_id", "token"]).where(F.rlike("sentence", F.concat(F.lit(r"(?i)\b"), _quoted(F.col("term")), F.lit(r"\b"))))
     found = found.groupBy("doc_id", "pos", "s").agg(F.max_by("term", F.struct(F.length("term").alias("l"), (-F.col("tn")).alias("o"))).alias("known"))
     rows = prose.join(found, ["doc_id", "pos", "s"], "left")
@@ -166,15 +168,16 @@ def clozes(marked: DataFrame, cards: DataFrame) -> DataFrame:
     good = (F.col("source") != "section") & (F.length("definition") >= 12) & ~F.col("term").rlike("[?？]$") & ~F.col("term").rlike(r"(?i)^(?:update|note|caveat)\b") & T.is_useful_cloze(F.col("term"), line)
     blanked = F.regexp_replace("definition", F.concat(F.lit(r"(?i)\b"), _quoted(F.col("term")), F.lit(r"\b")), F.lit(T.BLANK))
     defs = cards.where(good).select("doc_id", F.lit(2).alias("phase"), F.col("n").alias("pos"), F.lit(0).alias("s"), "section", F.col("term").alias("answer"), F.concat(F.lit(f"{T.BLANK} — "), blanked).alias("prompt"))
-    every = rows.unionByName(defs).withColumn("key", T.normalize_key(F.col("prompt"))).withColumn("at", F.struct("phase", "pos", "s"))
+    every = rows.unionByName(defs).withColumn("key", python.normalize_key(F.col("prompt"))).withColumn("at", F.struct("phase", "pos", "s"))
     first = every.groupBy("doc_id", "key").agg(F.min_by(F.struct("at", "prompt", "answer", "section"), "at").alias("f")).select("doc_id", "key", "f.*")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    ident = T.hash_id(F.concat_ws("|", F.lit("cloze"), "key", T.normalize_key(F.col("answer"))))
+    ident = T.hash_id(F.concat_ws("|", F.lit("cloze"), "key", python.normalize_key(F.col("answer"))))
     return first.withColumn("n", n).where(F.col("n") < MAX_CLOZES).select("doc_id", "n", ident.alias("id"), "prompt", "answer", "section")
 
 
 def study(df: DataFrame, id_col: str = "doc_id", markdown_col: str = "markdown") -> dict[str, DataFrame]:
-    """All study material of Markdown documents: blocks, terms, clozes, outline, stats."""
+    """All study material of Markdown documents: blocks, terms, clozes, outline, stats; and ``parsed``, which is cached for
+    them all, to be unpersisted when they have been read."""
     parsed = B.parse_documents(df, id_col, markdown_col).cache()  # five tables derive from it; the parser is Python
     table = B.block_table(parsed)
     marked = unit_terms(B.units(table))
@@ -186,4 +189,4 @@ def study(df: DataFrame, id_col: str = "doc_id", markdown_col: str = "markdown")
     for t, name in ((outline, "sections"), (cards, "terms"), (gaps, "clozes")):
         stats = stats.join(count(t, name), "doc_id", "left")
     stats = stats.fillna(0).withColumn("minutes", F.greatest(F.lit(1), F.floor(F.col("words") / 200 + 0.5)).cast("long"))
-    return {"blocks": table, "terms": cards, "clozes": gaps, "outline": outline, "stats": stats}
+    return {"parsed": parsed, "blocks": table, "terms": cards, "clozes": gaps, "outline": outline, "stats": stats}

@@ -85,7 +85,8 @@ def plan_push(sets: DataFrame, tombstones: DataFrame, index: DataFrame) -> DataF
     meta = index.select("id", F.coalesce("deleted", F.lit(False)).alias("gone"), F.col("updated_at").alias("there"), tombstone_time(F.col("deleted_at"), F.col("updated_at")).alias("gone_at"))
     known = F.coalesce(F.when(F.col("gone"), F.col("gone_at")).otherwise(F.col("there")), F.lit(-1))
     up = sets.join(meta, "id", "left").where(F.col("updated_at") > known)
-    kind = F.when(F.length("markdown") > MAX_MARKDOWN, "oversized").otherwise("set")
+    units = F.octet_length(F.encode("markdown", "UTF-16BE")) / 2
+    kind = F.when(units > MAX_MARKDOWN, "oversized").otherwise("set")
     up = up.select(kind.alias("kind"), "id", F.col("updated_at").alias("stamp"))
     down = tombstones.join(sets.select("id"), "id", "left_anti").join(meta, "id", "left")
     down = down.where(~F.coalesce("gone", F.lit(False)) & ~F.coalesce(F.col("there") > F.col("deleted_at"), F.lit(False)))

@@ -144,12 +144,11 @@ def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id, to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(left(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), 40), ''), lambda c: ascii(c)::BIGINT)),
+    SELECT doc_id, to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
         lambda h, c: (h * 33 + c) % 4294967296), 36) AS id FROM documents
 """)
 def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_ = F.substring(F.regexp_replace("text", r"[^\x20-\x7e]", ""), 1, 40)
-    return read(spark, sf_dir, "documents").select("doc_id", F.upper(T.hash_id(ascii_)).alias("id"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.upper(T.hash_id(F.col("text"))).alias("id"))
 
 
 @query(f"""

@@ -306,3 +306,20 @@ def test_searches_leave_no_row_out(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in documents.library_search(spark, str(tmp_path)).collect()} == {1, 2, 3}
     assert {r.doc_id: (r.hits, r.first_at) for r in documents.text_hits(spark, str(tmp_path)).collect()} == {1: (1, 12), 2: (1, 4), 3: (100_001, 0)}
+
+
+@pytest.mark.parametrize(("frequent", "combined"), [(64, 8), (3, 8), (3, 2)])
+def test_overlaps_by_definition(spark, frequent, combined):
+    """Common words, equal options and ties: the same six as by comparing all pairs of a group."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(12)]
+    rows = [(g, i, " ".join(rng.choices(vocabulary, [2.0 ** -k for k in range(12)], k=rng.randint(0, 6)))) for g in ("a", "b") for i in range(40)]
+    sets = {(g, i): set(t.split()) for g, i, t in rows}
+    want = set()
+    for g, i, _ in rows:
+        near = sorted((-len(sets[g, i] & w), j) for (h, j), w in sets.items() if h == g and j != i and sets[g, i] & w)[:6]
+        want |= {(g, i, j, -n, rank) for rank, (n, j) in enumerate(near, 1)}
+    got = quiz.overlaps(spark.createDataFrame(rows, "grp string, id int, text string"), ["grp"], frequent=frequent, combined=combined)
+    assert {tuple(r) for r in got.select("grp", "id", "other", "shared", "rank").collect()} == want
