@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import materialise
+from lexiquarry.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(step)
         left, right = step.toDF("a", "ra"), step.toDF("b", "rb")
         moved = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = materialise(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        before, edges = edges, materialise(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(before)
     if not steps:
         return edges.toDF("node", "root")
     roots = steps.pop()
     while steps:
-        later = roots.toDF("root", "last")
-        roots = materialise(steps.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+        later, step = roots, steps.pop()
+        roots = materialise(step.join(later.toDF("root", "last"), "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+        discard(later, step)
     return roots

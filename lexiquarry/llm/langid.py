@@ -6,13 +6,13 @@ five letters down to one, and scores by the mean log frequency of the first orde
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +112,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, kept, rows_, {g: i for i, g in enumerate(names)}, np.array([grams[g] for g in names]).reshape(len(names), len(langs)))
 
 
+def lettered(word: str | None) -> bool:
+    """Marks alone are no word."""
+    return bool(word) and any(c.isalpha() for c in word)
+
+
 def decide(langs: list[str], sums: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Per document: summed word scores and number of words to language and score; none without words."""
     if not langs:
@@ -125,7 +130,7 @@ def decide(langs: list[str], sums: np.ndarray, n: np.ndarray) -> tuple[list[str]
 
 def predict_one(model: Model, text: str | None) -> tuple[str, float]:
     """The plain form of what ``predict`` does in batches."""
-    words = [w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
+    words = [w for w in regex.split(NOT_LETTERS, (text or "").lower()) if lettered(w)]
     sums = sum((model.score(w) for w in words), np.zeros(len(model.langs)))
     langs, score = decide(model.langs, np.array([sums]), np.array([len(words)]))
     return langs[0], float(score[0])
@@ -150,11 +155,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 m.cache.clear()
             table = np.zeros((len(known), width))
             for i, w in enumerate(known):
-                if w:
+                if lettered(w):
                     if (row := m.cache.get(w)) is None:
                         row = m.cache[w] = m.score(w)
                     table[i] = row
-            real = np.array([bool(w) for w in known], dtype=np.int64)
+            real = np.array([lettered(w) for w in known], dtype=np.int64)
             code = coded.indices.to_numpy(zero_copy_only=False)
             at = split.offsets.to_numpy()
             at = at - at[0]
@@ -171,6 +176,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from df's own labelled rows, then predicts every row: doc_id, held_out, lang_pred, score."""
+    """Learns from df's own labelled rows, then predicts every row: doc_id, held_out, lang_pred, score.
+
+    Rows without a language are only predicted; null ids are learned from and never held out; null texts and those
+    without a letter are ``und``. Repeated rows have a row each; no rows give no rows; other columns aren't read.
+    """
     out = predict(df, train(df, id_col, text_col, lang_col), id_col, text_col)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -207,6 +207,14 @@ def test_language(spark, docs, none):
     assert empty.count() == 0 and langid.predict(docs, langid.train(none)).where("lang_pred <> 'und' or score <> 0").count() == 0
 
 
+def test_language_of_marks_alone(spark):
+    """Combining marks, digits and signs are no letters; a mark in a word is a part of it."""
+    table = spark.createDataFrame([(i, t, "de") for i, t in enumerate(["das haus", "die maus"] * 20)], "doc_id long, text string, lang string")
+    model, odd = langid.train(table), ["\u0301 \u0302", "²3 ½ !", "\u0301", "das hau\u0301s"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "und", "de"] == [langid.predict_one(model, t)[0] for t in odd]
+
+
 def test_language_ignores_held_out_labels(spark):
     rows = [(i, "le chat et le chien", "fr") for i in range(50)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -481,6 +489,17 @@ def test_likeness_by_fingerprints():
     assert max(map(abs, errors)) < 0.2 and np.mean(np.abs(errors)) < 0.05
 
 
+def test_written_tables_go(spark, tmp_path):
+    """What is written can be deleted at once, and a session of a cluster must name a shared folder."""
+    import os
+
+    kept = common.materialise(spark.range(3), "kept")
+    where = kept.written_to.removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(where)
+    common.discard(kept, spark.range(1))
+    assert not os.path.exists(where)
+
+
 def test_dealt(spark):
     """Every number has a partition of its own, whatever Spark's hash makes of it."""
     got = common.dealt(spark.range(23).withColumn("c", F.col("id").cast("int")), 23, "c").select("c", F.spark_partition_id().alias("p")).collect()
