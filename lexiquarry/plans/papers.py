@@ -194,13 +194,43 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.concat(F.lit("---\ntitle: Parts\npmcid: PMC12\n---\n# Parts\n\n"), body).alias("markdown"))
 
 
-@query()
+#: The notes by their parts, i being a part's place in its note: what a reader of ``notes`` must find in them.
+_NOTES = f"""
+    p AS (SELECT p_brand || '/' || (p_partkey // {NOTE_KEYS}) AS doc_id, row_number() OVER (PARTITION BY p_brand, p_partkey // {NOTE_KEYS} ORDER BY p_partkey) - 1 AS i, p_partkey AS k, p_name AS name, p_size AS size, p_type AS kind, p_retailprice AS price FROM part),
+    s AS (SELECT *, name || ': the part of size ' || size || ' that is made of it' AS item, 'Part ' || k || ': sold at ' || price || ' in each shop' AS sold, 'Q: What is ' || name || ' made of?' AS ask, 'A: It is made of ' || kind || ' alone.' AS answer,
+        'We found that ' || name || ' rose by ' || size || '% in every trial (p < 0.01).' AS found, 'The price of ' || name || ' may rise again in the years to come.' AS price_of, 'The rule of ' || name || ' holds for all of the others as well.' AS rule, 'Table ' || size || '. Sizes' AS label FROM p),
+    b AS (SELECT doc_id, (12 * i + x.at)::INTEGER AS pos, x.kind AS kind, x.depth::INTEGER AS depth, x.text AS text, CASE WHEN x.at > 10 THEN label ELSE s.kind END AS section, s.kind AS part, (9 * i + x.block)::INTEGER AS block FROM s, unnest([
+            {{'at': 1, 'kind': 'heading', 'depth': 2, 'block': 1, 'text': s.kind}}, {{'at': 2, 'kind': 'list', 'depth': NULL, 'block': 2, 'text': item || ' ' || sold}}, {{'at': 3, 'kind': 'item', 'depth': NULL, 'block': 2, 'text': item}}, {{'at': 4, 'kind': 'item', 'depth': NULL, 'block': 2, 'text': sold}},
+            {{'at': 5, 'kind': 'para', 'depth': NULL, 'block': 3, 'text': ask}}, {{'at': 6, 'kind': 'para', 'depth': NULL, 'block': 4, 'text': answer}}, {{'at': 7, 'kind': 'para', 'depth': NULL, 'block': 5, 'text': found || ' ' || price_of}}, {{'at': 8, 'kind': 'table', 'depth': NULL, 'block': 6, 'text': 'Name Size Price N' || k || ' part ' || size || ' ' || price}},
+            {{'at': 9, 'kind': 'quote', 'depth': NULL, 'block': 7, 'text': rule}}, {{'at': 10, 'kind': 'para', 'depth': NULL, 'block': 7, 'text': rule}}, {{'at': 11, 'kind': 'heading', 'depth': 4, 'block': 8, 'text': label}}, {{'at': 12, 'kind': 'table', 'depth': NULL, 'block': 9, 'text': 'a b 1 2'}}]) AS u(x)
+        UNION ALL SELECT DISTINCT doc_id, 0, 'heading', 1, 'Parts', 'Parts', 'Parts', 0 FROM p),
+    h AS (SELECT doc_id, pos, regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g') AS base FROM b WHERE kind = 'heading'),
+    g AS (SELECT doc_id, pos, base || CASE WHEN row_number() OVER w > 1 THEN '-' || (row_number() OVER w - 1) ELSE '' END AS slug FROM h WINDOW w AS (PARTITION BY doc_id, base ORDER BY pos))
+"""
+
+
+@query(f"WITH {_NOTES} SELECT doc_id, pos, kind, depth, text, slug, section, part FROM b LEFT JOIN g USING (doc_id, pos)")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = B.block_table(B.parse_documents(notes(spark, sf_dir)))
     return table.select("doc_id", "pos", "kind", "depth", "text", "slug", "section", "part")
 
 
-@query()
+_KEYED = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_ID = "lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296), 36))"
+#: Cards by rule: bold, colon and question terms, the table's first cells, and each heading with what follows it.
+_TERMS = f"""
+    a AS (SELECT *, item || ' ' || sold || CASE WHEN length(ask) >= 28 THEN ' ' || ask ELSE '' END AS one FROM s),
+    e AS (SELECT *, one || CASE WHEN length(one) < 180 AND length(answer) >= 28 THEN ' ' || answer ELSE '' END AS two FROM a),
+    c AS (SELECT doc_id, x.phase AS phase, i, x.n AS n, kind AS section, x.term AS term, x.definition AS definition, x.source AS source FROM e, unnest([
+            {{'phase': 1, 'n': 1, 'source': 'bold', 'term': name, 'definition': 'the part of size ' || size || ' that is made of it'}}, {{'phase': 1, 'n': 2, 'source': 'colon', 'term': 'Part ' || k, 'definition': 'sold at ' || price || ' in each shop'}},
+            {{'phase': 1, 'n': 3, 'source': 'qa', 'term': substr(ask, 4), 'definition': substr(answer, 4)}}, {{'phase': 2, 'n': 1, 'source': 'table', 'term': 'N' || k || ' part', 'definition': 'Size: ' || size || '; Price: ' || price}},
+            {{'phase': 3, 'n': 1, 'source': 'section', 'term': 'What is the key idea in “' || kind || '”?', 'definition': two || CASE WHEN length(two) < 180 THEN ' ' || found || ' ' || price_of ELSE '' END}}]) AS u(x) WHERE x.phase < 3 OR i < 24),
+    k AS (SELECT *, {_KEYED.format("term")} AS key, row_number() OVER (PARTITION BY doc_id, {_KEYED.format("term")} ORDER BY phase, i, n) AS nth, first_value(definition) OVER (PARTITION BY doc_id, {_KEYED.format("term")} ORDER BY length(definition) DESC, phase, i, n) AS best FROM c),
+    t AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY phase, i, n) - 1)::INTEGER AS n, {_ID.format("'term|' || key || '|' || left(" + _KEYED.format("definition") + ", 40)")} AS id, term, best AS definition, section, source FROM k WHERE nth = 1)
+"""
+
+
+@query(f"WITH {_NOTES}, {_TERMS} SELECT doc_id, n, id, term, definition, section, source FROM t")
 def study_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["terms"]
 
@@ -210,7 +240,7 @@ def study_clozes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["clozes"]
 
 
-@query()
+@query(f"WITH {_NOTES} SELECT doc_id, pos, slug AS id, text AS title, depth FROM b JOIN g USING (doc_id, pos) WHERE depth <= 3")
 def study_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["outline"]
 
@@ -231,7 +261,10 @@ def match_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz.tiles(quiz.match_rounds(study.study(notes(spark, sf_dir))["terms"], 6, 3))
 
 
-@query()
+@query(f"""
+    WITH {_NOTES} SELECT doc_id, 'table' AS kind, CASE WHEN pos % 12 = 0 THEN regexp_extract(section, 'Table \\d+') ELSE 'Table ' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) END AS label,
+        CASE WHEN pos % 12 = 0 THEN 'Sizes' ELSE '' END AS caption, part AS section, pos, NULL::VARCHAR AS code, NULL::VARCHAR AS image, NULL::VARCHAR AS link, NULL::VARCHAR AS note FROM b WHERE kind = 'table'
+""")
 def paper_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.floats(B.parse_documents(notes(spark, sf_dir)))
 
@@ -241,23 +274,34 @@ def paper_skim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.skim(B.block_table(B.parse_documents(notes(spark, sf_dir))))
 
 
-@query()
+@query(f"""
+    WITH {_NOTES}, v AS (SELECT doc_id, i, kind AS section, item || ' ' || sold AS line, found, unnest([k::VARCHAR, price::VARCHAR, size || '%', 'p < 0.01']) AS value, unnest([1, 2, 3, 4]) AS place, k FROM s),
+    f AS (SELECT *, CASE WHEN place < 3 THEN line ELSE found END AS text FROM v WHERE place > 1 OR (k >= 100 AND NOT k BETWEEN 1501 AND 2099))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, place)::INTEGER AS n, value, text, section FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, value, text ORDER BY i, place) = 1)
+""")
 def paper_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.numbers(views.sentences(B.block_table(B.parse_documents(notes(spark, sf_dir)))))
 
 
-@query()
+@query(f"WITH {_NOTES} SELECT doc_id, pos, part, kind, (len(string_split(lower(text), 'rose')) - 1)::INTEGER AS hits FROM b WHERE kind <> 'item' AND pos % 12 <> 10 AND contains(lower(text), 'rose')")
 def paper_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = B.block_table(B.parse_documents(notes(spark, sf_dir)))
     return search.in_document(table, "rose").select("doc_id", "pos", "part", "kind", F.size("ranges").alias("hits"))
 
 
-@query()
+@query(f"""
+    WITH {_NOTES}, l AS (SELECT doc_id, pos, block, unnest(string_split(CASE WHEN kind <> 'table' THEN replace(text, '). The ', ').' || chr(10) || 'The ') WHEN pos % 12 = 0 THEN '1: 2.'
+            ELSE regexp_replace(text, '^Name Size Price (N\\d+ part) (\\d+) (.*)$', '\\1, \\2, \\3.') END, chr(10))) AS text, kind FROM b WHERE kind NOT IN ('list', 'quote'))
+    SELECT doc_id, pos, block, (row_number() OVER (PARTITION BY doc_id, pos ORDER BY text DESC) - 1)::INTEGER AS n, text FROM l
+""")
 def read_aloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.speakable(B.block_table(B.parse_documents(notes(spark, sf_dir))))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT p_partkey, damerau_levenshtein(p_name[1] || p_name[3] || p_name[2] || p_name[4:], p_name) - CASE WHEN length(p_name) >= 14 THEN 2 WHEN length(p_name) >= 6 THEN 1 ELSE 0 END AS beyond FROM part)
+    SELECT p_partkey, beyond <= 0 AS correct, beyond BETWEEN 1 AND 2 AS close FROM d
+""")
 def fuzzy_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1), F.substring("p_name", 2, 1), F.substring("p_name", 4, 200))
     return read(spark, sf_dir, "part").select("p_partkey", python.check_answer(swapped, F.col("p_name")).alias("c")).select("p_partkey", "c.*")
