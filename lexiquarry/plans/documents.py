@@ -47,7 +47,7 @@ def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.normalize_key(F.col("text")).cast("binary")).alias("key_md5"), F.md5(T.normalize_answer(F.col("text")).cast("binary")).alias("answer_md5"))
 
 
-@query()
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key_md5 FROM documents")
 def normalized_keys_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(python.normalize_key(F.col("text")).cast("binary")).alias("key_md5"))
 

@@ -235,7 +235,16 @@ def study_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["terms"]
 
 
-@query()
+#: Sentences with the name blanked, then definitions of short terms; each prompt once, sixty of a note.
+_CLOZES = f"""
+    x AS (SELECT doc_id, 1 AS phase, 12 * i + y.at AS pos, y.s AS s, kind AS section, replace(y.line, name, '____') AS prompt, name AS answer FROM s, unnest([{{'at': 7, 's': 0, 'line': found}}, {{'at': 7, 's': 1, 'line': price_of}}, {{'at': 10, 's': 0, 'line': rule}}]) AS u(y)
+        UNION ALL SELECT doc_id, 2, n, 0, section, '____ — ' || definition, term FROM t WHERE source IN ('bold', 'colon', 'table') AND length(definition) >= 12 AND length(term) <= 0.48 * length(term || ' — ' || definition)),
+    y AS (SELECT *, {_KEYED.format("prompt")} AS key FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, {_KEYED.format("prompt")} ORDER BY phase, pos, s) = 1),
+    z AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY phase, pos, s) - 1)::INTEGER AS n, {_ID.format("'cloze|' || key || '|' || " + _KEYED.format("answer"))} AS id, prompt, answer, section FROM y QUALIFY n < 60)
+"""
+
+
+@query(f"WITH {_NOTES}, {_TERMS}, {_CLOZES} SELECT doc_id, n, id, prompt, answer, section FROM z")
 def study_clozes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["clozes"]
 
@@ -245,7 +254,10 @@ def study_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["outline"]
 
 
-@query()
+@query(f"""
+    WITH {_NOTES}, {_TERMS}, {_CLOZES}, w AS (SELECT doc_id, sum(len(string_split(text, ' ')))::BIGINT AS words, count(*) FILTER (WHERE depth <= 3) AS sections FROM b WHERE kind IN ('heading', 'para', 'item', 'table') GROUP BY doc_id)
+    SELECT doc_id, words, sections, (SELECT count(*) FROM t WHERE t.doc_id = w.doc_id) AS terms, (SELECT count(*) FROM z WHERE z.doc_id = w.doc_id) AS clozes, greatest(1, floor(words / 200 + 0.5))::BIGINT AS minutes FROM w
+""")
 def study_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.study(notes(spark, sf_dir))["stats"]
 
@@ -277,7 +289,7 @@ def paper_skim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_NOTES}, v AS (SELECT doc_id, i, kind AS section, item || ' ' || sold AS line, found, unnest([k::VARCHAR, price::VARCHAR, size || '%', 'p < 0.01']) AS value, unnest([1, 2, 3, 4]) AS place, k FROM s),
     f AS (SELECT *, CASE WHEN place < 3 THEN line ELSE found END AS text FROM v WHERE place > 1 OR (k >= 100 AND NOT k BETWEEN 1501 AND 2099))
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, place)::INTEGER AS n, value, text, section FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, value, text ORDER BY i, place) = 1)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, place)::INTEGER AS n, value, text, section FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, value, left(text, 40) ORDER BY i, place) = 1)
 """)
 def paper_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.numbers(views.sentences(B.block_table(B.parse_documents(notes(spark, sf_dir)))))
