@@ -26,6 +26,7 @@ def fixture() -> list[tuple]:
         "x " * 700, "ab" * 600, sentence(4, 3000), sentence(4, 3000)[100:9000], sentence(5, 60), sentence(5, 60).replace("river", "brook", 1), "!!! ??? 123", "\x00nul\x00 byte " + shared,
     ]
     rows = [(i, t, "en" if i % 3 else None, ["s1", "s0", None][i % 3], i, "k", 1, "f") for i, t in enumerate(texts)]
+    rows.append((30, sentence(7, 20_000), "en", "s0", 1, "k", 1, "f"))
     return [*rows, rows[6], (None, "no id here " + shared, None, None, None, None, None, None), (3, "another text of id three " + sentence(6, 40), "de", "s1", 1, "k", 1, "f")]
 
 
