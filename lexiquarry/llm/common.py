@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker looks at in one vectorised step; numpy temporaries are about 40 times this.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to a Python worker; Spark's own bound of 64 MB is several times that in either process.
+BATCH_BYTES = 8 << 20
 #: The six ASCII white-space bytes that separate words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -64,7 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) and what is to be kept, no other column, so that clashing names can't matter; a null text becomes empty."""
+    """(doc_id, text) and what is to be kept, no other column, so that clashing names can't matter; a null text becomes
+    empty. A session that leaves the size of Arrow batches to Spark gets smaller ones, for long texts' sake."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
 
 

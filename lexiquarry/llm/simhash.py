@@ -222,9 +222,9 @@ _FACTORS = mix(np.arange(1, BANDS * DEEP + 1, dtype=np.uint64) * np.uint64(0x9E3
 _SALTS = mix(np.arange(101, 105, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketched(text: bytes) -> tuple[list[int], list[int]]:
-    """Four independent fingerprints of the set of five-word shingles, and the keys of its min-wise samples."""
-    hashes = np.unique(shingle_hashes(text, SIMILAR_SHINGLE))
+def sketched(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Four independent fingerprints of the set of a text's shingle hashes, and the keys of its min-wise samples."""
+    hashes = np.unique(hashes)
     least, ones = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(256, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         piece = hashes[at : at + 4096, None]
@@ -249,8 +249,9 @@ def prints_and_keys(df: DataFrame) -> DataFrame:
         for piece, data, offsets in slices(batches, "text"):
             raw = [plain(data[s:e].tobytes()) for s, e in zip(offsets, offsets[1:])]
             node = [xxhash.xxh64_intdigest(t, SEED) for t in raw]
-            made = [node, [majority(shingle_hashes(t, SIMILAR_SHINGLE)) for t in raw], *zip(*map(word_prints, raw))]
-            prints, keys = zip(*map(sketched, raw))
+            hashes = [shingle_hashes(t, SIMILAR_SHINGLE) for t in raw]
+            made = [node, [majority(h) for h in hashes], *zip(*map(word_prints, raw))]
+            prints, keys = zip(*map(sketched, hashes))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in made]
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (prints, keys)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tie"), *longs, *lists], ["doc_id", "tie", "node", "fp", "probe_a", "probe_b", "prints", "keys"])
