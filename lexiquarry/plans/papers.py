@@ -281,9 +281,28 @@ def paper_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.floats(B.parse_documents(notes(spark, sf_dir)))
 
 
-@query()
+@query(f"""
+    WITH {_NOTES} SELECT doc_id, i + 2 AS sec, slug AS id, s.kind AS title, 2 AS depth,
+        CASE WHEN length(ask) > 40 THEN ask WHEN length(answer) > 40 THEN answer ELSE found || ' ' || price_of END AS gist,
+        array_to_string(list_filter([CASE WHEN k >= 100 AND NOT k BETWEEN 1501 AND 2099 THEN k::VARCHAR END, price::VARCHAR, size || '%', 'p < 0.01'], lambda x: x IS NOT NULL), ' | ') AS numbers,
+        len(string_split(concat_ws(' ', item, sold, ask, answer, found, price_of, rule), ' '))::BIGINT AS words
+    FROM s JOIN g USING (doc_id) WHERE pos = 12 * i + 1
+""")
 def paper_skim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.skim(B.block_table(B.parse_documents(notes(spark, sf_dir))))
+    found = views.skim(B.block_table(B.parse_documents(notes(spark, sf_dir))))
+    return found.withColumn("numbers", F.array_join("numbers", " | "))
+
+
+@query("""
+    WITH c AS (SELECT p_partkey, unnest([p_name, p_name || '.', p_name || ' | ' || p_type, 'see http://' || p_brand, repeat(p_name || ' ', p_size), p_size::VARCHAR, p_type || ' ' || p_brand, 'x']) AS term, unnest(range(8))::INTEGER AS n FROM part)
+    SELECT p_partkey, n, length(term) BETWEEN 2 AND 80 AND len(list_filter(regexp_split_to_array(term, '\\s+'), lambda w: w <> '')) <= 8 AND regexp_matches(term, '[a-zA-Z]')
+        AND NOT contains(term, '://') AND NOT contains(term, '|') AND NOT regexp_matches(trim(term), '[.!?]$') AS reasonable FROM c
+""")
+def reasonable_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size")
+    terms = F.array(name, F.concat(name, F.lit(".")), F.concat(name, F.lit(" | "), kind), F.concat(F.lit("see http://"), "p_brand"), F.expr("repeat(p_name || ' ', p_size)"), size.cast("string"), F.concat(kind, F.lit(" "), "p_brand"), F.lit("x"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(terms).alias("n", "term"))
+    return rows.select("p_partkey", "n", T.is_reasonable_term(F.col("term")).alias("reasonable"))
 
 
 @query(f"""
