@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.functions import python
+from lexiquarry.functions import articles, layout, python
 from lexiquarry.functions import text as T
 from lexiquarry.operators import blocks as B
 from lexiquarry.operators import quiz, search, study, views
@@ -336,3 +336,47 @@ def read_aloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1), F.substring("p_name", 2, 1), F.substring("p_name", 4, 200))
     return read(spark, sf_dir, "part").select("p_partkey", python.check_answer(swapped, F.col("p_name")).alias("c")).select("p_partkey", "c.*")
+
+
+_XML = """
+    '<article><front><journal-meta><journal-title-group><journal-title>Annals of ' || p_brand || '</journal-title></journal-title-group></journal-meta><article-meta><article-id pub-id-type="pmc">' || (p_partkey + 1) || '</article-id><article-id pub-id-type="doi">10.77/p' || p_partkey
+    || '</article-id><title-group><article-title>On the <italic>' || p_name || '</italic></article-title></title-group><contrib-group><contrib contrib-type="author"><name><surname>' || p_type || '</surname><given-names>A</given-names></name></contrib></contrib-group><pub-date><year>' || (1990 + p_size % 30)
+    || '</year></pub-date><abstract><p>A ' || p_name || ' of size ' || p_size || '.</p></abstract></article-meta></front><body><sec><title>Use of it</title><p>The <bold>' || p_name || '</bold> costs ' || p_retailprice || '<xref ref-type="bibr">1</xref>.</p><list list-type="bullet"><list-item><p>' || p_type
+    || ' only</p></list-item><list-item><p>sold in ' || p_brand || '</p></list-item></list><table-wrap id="t1"><label>Table 1</label><caption><p>Sizes of ' || p_name || '</p></caption><table><thead><tr><th>Name</th><th>Size</th></tr></thead><tbody><tr><td rowspan="2">' || p_name || '</td><td>' || p_size || '</td></tr><tr><td>' || (p_size + 1)
+    || '</td></tr></tbody></table></table-wrap><disp-formula><label>(' || p_size || ')</label><mml:math><mml:msup><mml:mi>x</mml:mi><mml:mn>' || p_size || '</mml:mn></mml:msup></mml:math></disp-formula></sec></body><back><ref-list><ref><element-citation><surname>' || p_type || '</surname><article-title>' || p_name
+    || '</article-title><year>2001</year></element-citation></ref></ref-list></back></article>'
+"""
+_L, _P = "|| chr(10) ||", "|| chr(10) || chr(10) ||"
+
+
+@query(f"""
+    WITH p AS (SELECT *, 1990 + p_size % 30 AS y FROM part)
+    SELECT p_partkey, 'On the *' || p_name || '*' AS title, y::VARCHAR AS year, 1 AS tables, 1 AS equations, regexp_replace(
+        '## Abstract' {_P} 'A ' || p_name || ' of size ' || p_size || '.' {_P} '## Use of it' {_P} 'The **' || p_name || '** costs ' || p_retailprice || '.' {_P} '- ' || p_type || ' only' {_L} '- sold in ' || p_brand {_P}
+        '#### Table 1 Sizes of ' || p_name {_P} '| Name | Size |' {_L} '| --- | --- |' {_L} '| ' || p_name || ' | ' || p_size || ' |' {_L} '| ' || p_name || ' | ' || (p_size + 1) || ' |' {_P}
+        '#### Equation ' || p_size {_P} '```math' {_L} 'x^(' || p_size || ')' {_L} '```' {_P} '## References' {_P} '1. ' || p_type || '. ' || p_name || '. 2001', '\\^\\((\\d)\\)', '^\\1') AS body,
+        '> Annals of ' || p_brand || ' (' || y || ') · A ' || p_type || ' · DOI 10.77/p' || p_partkey || ' · PMC' || (p_partkey + 1) AS line FROM p
+""")
+def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _part(spark, sf_dir, xml=_XML).select("p_partkey", articles.converted(F.col("xml")).alias("a")).select("p_partkey", "a.*")
+    text = F.trim(F.col("markdown"))
+    count = lambda k: F.col("counts")[k].cast("int").alias(k)
+    body = F.regexp_replace(F.concat(F.lit("## Abstract"), F.element_at(F.split(text, "## Abstract", 2), 2)), r"\s+$", "")
+    return made.select("p_partkey", "meta.title", "meta.year", count("tables"), count("equations"), body.alias("body"), F.regexp_extract(text, "(?m)^(> .*)$", 1).alias("line"))
+
+
+@query(f"""
+    SELECT p_partkey AS doc_id, 'A Study of the ' || p_name AS title, 3 AS sections, 1 AS tables, 1 AS equations,
+        '## A Study of the ' || p_name {_P} 'Ann Roe, Bob Doe' {_P} '## Methods' {_P} 'We took the ' || p_name || ' and weighed it with the measure of ' || p_brand || ' in each shop.' {_P} '```math' {_L} 'y = ' || p_size || ' x + 1' {_L} '```' {_P}
+        '#### Table 1. Sizes' {_P} '| Name | Size |' {_L} '| --- | --- |' {_L} '| ' || p_name || ' | ' || p_size || ' |' {_P} '## References' {_P} '_This set lists 1 reference from the paper._' {_P} '1. Roe A. The first ' || p_type || '.' AS markdown FROM part
+""")
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of positioned spans for each part: a title in large print, a bold heading, a hyphen, an equation, a table."""
+    at = lambda text, x, y, height=10.0, bold=False: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(height).alias("height"), F.lit(bold).alias("bold"))
+    size, lit, with_ = F.col("p_size").cast("string"), F.lit, F.concat
+    spans = [at(with_(lit("A Study of the "), "p_name"), 50, 20, 20.0), at(lit("Ann Roe, Bob Doe"), 50, 45), at(lit("Methods"), 50, 80, bold=True), at(with_(lit("We took the "), "p_name", lit(" and weighed it with the meas-")), 50, 100)]
+    spans += [at(with_(lit("ure of "), "p_brand", lit(" in each shop.")), 50, 112), at(with_(lit("y = "), size, lit(" x + 1")), 50, 150), at(lit("Table 1. Sizes"), 50, 200), at(lit("Name"), 50, 215), at(lit("Size"), 200, 215)]
+    spans += [at(F.col("p_name"), 50, 230), at(size, 200, 230), at(lit("References"), 50, 300, bold=True), at(with_(lit("1. Roe A. The first "), "p_type", lit(".")), 50, 320), at(lit("7"), 300, 780)]
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(*spans)).alias("s")).select("doc_id", "s.*")
+    rows = rows.withColumns({"width": F.length("text") * 5.0, "page": F.lit(1), "page_width": F.lit(600.0)})
+    return layout.documents(rows).select("doc_id", "title", "sections", "tables", "equations", "markdown")
