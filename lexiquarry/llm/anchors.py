@@ -308,8 +308,10 @@ def contexts(docs: DataFrame, flags: DataFrame, read: Callable, record: np.dtype
             out[f] = asks[f][short]
         at, low, high = (base + asks["pos"])[short, None], base[short, None], ends[short, None]
         left, right = at - 1 - np.arange(record["left"].shape[0])[None, :], at + np.arange(record["right"].shape[0])[None, :]
-        out["left"] = values[np.where(left >= low, left, len(values) - 1)]
-        out["right"] = values[np.where(right < high, right, len(values) - 1)]
+        # beyond what the run's own windows hold nothing is sent; suffixes that share a window share all of it either way
+        back, reach = asks["back"][short, None], np.array(windows, dtype=np.int64)[asks["w"]][short, None] - asks["near"][short, None]
+        out["left"] = values[np.where((left >= low) & (at - left <= back), left, len(values) - 1)]
+        out["right"] = values[np.where((right < high) & (right - at < reach), right, len(values) - 1)]
         asks, base = asks[~short], base[~short]
         times = asks["back"].astype(np.int64) - asks["near"] + 1
         of = np.repeat(np.arange(len(asks)), times)

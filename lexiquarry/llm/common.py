@@ -69,7 +69,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: t
     """(doc_id, text) and what is to be kept, no other column, so that clashing names can't matter; a null text becomes
     empty. A session that leaves the size of Arrow batches to Spark gets smaller ones, for long texts' sake."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, f"{BATCH_BYTES}b")
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
 
@@ -79,6 +79,17 @@ def parts_for(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of stored input for each group that rows are dealt to by number.
+DEALT_BYTES = 4 << 20
+
+
+def groups_for(df: DataFrame) -> int:
+    """How many groups df should be dealt to: a partition's worth each, but no more than the input fills. What goes from
+    every group to every other then grows with the data, not with the square of the session's partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(parts_for(df), max(8, -(-size // DEALT_BYTES)))
+
+
 _labels: dict[int, list[int]] = {}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors as A
-from lexiquarry.llm.common import materialise, parts_for, prefix_sums, span_hashes, word_hashes, word_spans
+from lexiquarry.llm.common import discard, groups_for, materialise, prefix_sums, span_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 4
 
@@ -58,12 +58,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows. Words are equal if their 32-bit hashes are equal through a whole window, or 64-bit hashes of all words of the
     runs that hold them, or of the window where more than ``group`` suffixes share an anchor.
     """
-    shards = chunks = parts = parts_for(df)
+    shards = chunks = parts = groups_for(df)
     docs = A.numbered(df, id_col, text_col)
     gram, windows = min(GRAM, window), (window,)
     record = A.record_type("<u4", gram, windows)
     sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=True), "runs")
-    flags = materialise(A.judged(sent, windows, shards, chunks, parts, True, group), "judged")
+    settled = sent.where(F.col("kind") == A.SPANS)
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, True, group).unionByName(settled), "judged")
+    discard(sent)
     found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, subtree, windows, shards, chunks, parts, True, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
@@ -79,5 +81,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         doc = pa.array([None if x == A.NO_ID else x for x in ids.tolist()], pa.int64())
         return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip((n, gone, digest, places, kept), kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
-    spans = sent.unionByName(flags).where(F.col("kind") == A.SPANS).unionByName(found)
+    spans = flags.where(F.col("kind") == A.SPANS).unionByName(found)
     return A.meet(docs, spans, A.SPAN, chunks, parts, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string")

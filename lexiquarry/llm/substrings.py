@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors as A
-from lexiquarry.llm.common import BYTE_VALUES, materialise, parts_for, prefix_sums, span_hashes
+from lexiquarry.llm.common import BYTE_VALUES, discard, groups_for, materialise, prefix_sums, span_hashes
 
 #: Bytes of a string that is removed, of one that is only reported, and of an anchor.
 LENGTH, REPORTED, GRAM = 400, 200, 32
@@ -82,13 +82,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies; null ids are kept. No rows give no rows. Strings are equal if their bytes are, or 64-bit hashes of all bytes
     of the runs that hold them, or of their own where more than ``group`` suffixes share an anchor.
     """
-    shards = chunks = parts = parts_for(df)
+    shards = chunks = parts = groups_for(df)
     docs = A.numbered(df, id_col, text_col)
     windows = (length,) if reported is None else (length, reported)
     gram = min(GRAM, *windows)
     record = A.record_type("u1", gram, windows)
     sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=False), "runs")
-    flags = materialise(A.judged(sent, windows, shards, chunks, parts, False, group), "judged")
+    settled = sent.where(F.col("kind") == A.SPANS)
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, False, group).unionByName(settled), "judged")
+    discard(sent)
     found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, family_marks, windows, shards, chunks, parts, False, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
@@ -104,5 +106,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         doc = pa.array([None if x == A.NO_ID else x for x in ids.tolist()], pa.int64())
         return pa.RecordBatch.from_arrays([doc, *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans", "kept"])
 
-    spans = sent.unionByName(flags).where(F.col("kind") == A.SPANS).unionByName(found)
+    spans = flags.where(F.col("kind") == A.SPANS).unionByName(found)
     return A.meet(docs, spans, A.SPAN, chunks, parts, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans array<struct<start:long,end:long>>, kept binary")
