@@ -191,14 +191,18 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def judged(sent: DataFrame, windows: tuple[int, ...], shards: int, chunks: int, parts: int, earlier_only: bool, group: int = GROUP) -> DataFrame:
-    """Pass 1, second half: spans of runs that are repeated as a whole, and the open runs.
+    """Pass 1, second half: spans of runs that are repeated as a whole, those settled before too, and the open runs.
 
     A run is repeated if its key and fingerprint occur elsewhere; with earlier_only, in a document of a smaller id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, held in grouped(batches):
-            docs, tie, recs = zip(*(_unpacked(b) for _, b in held))
+            if settled := [(c, kind, blob.to_pybytes()) for kind, blob in held if kind == SPANS]:
+                yield blobs(settled)
+            if not (sent_runs := [_unpacked(b) for kind, b in held if kind == RUNS]):
+                continue
+            docs, tie, recs = zip(*sent_runs)
             doc, tie, rec = np.concatenate(docs), np.concatenate(tie), np.concatenate(recs)
             order, of_mark, by_mark = _pairs(rec["key"], rec["print"], doc)
             doc, tie, rec = doc[order], tie[order], rec[order]
@@ -222,7 +226,7 @@ def judged(sent: DataFrame, windows: tuple[int, ...], shards: int, chunks: int,
             out += by_chunk(ASKED, asks, chunks, chunk_of(asks["doc"], chunks))
             yield blobs(out)
 
-    return dealt(sent.where(F.col("kind") == RUNS), parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
+    return dealt(sent, parts, "c").sortWithinPartitions("c").mapInArrow(run, BLOBS)
 
 
 def packed(docs: DataFrame, chunks: int) -> DataFrame:

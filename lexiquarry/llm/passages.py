@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors as A
-from lexiquarry.llm.common import discard, groups_for, materialise, prefix_sums, span_hashes, word_hashes, word_spans
+from lexiquarry.llm.common import groups_for, materialise, prefix_sums, span_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 4
 
@@ -62,10 +62,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = A.numbered(df, id_col, text_col)
     gram, windows = min(GRAM, window), (window,)
     record = A.record_type("<u4", gram, windows)
-    sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=True), "runs")
-    settled = sent.where(F.col("kind") == A.SPANS)
-    flags = materialise(A.judged(sent, windows, shards, chunks, parts, True, group).unionByName(settled), "judged")
-    discard(sent)
+    sent = A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=True)
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, True, group), "judged")
     found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, subtree, windows, shards, chunks, parts, True, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:

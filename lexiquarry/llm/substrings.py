@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import anchors as A
-from lexiquarry.llm.common import BYTE_VALUES, discard, groups_for, materialise, prefix_sums, span_hashes
+from lexiquarry.llm.common import BYTE_VALUES, groups_for, materialise, prefix_sums, span_hashes
 
 #: Bytes of a string that is removed, of one that is only reported, and of an anchor.
 LENGTH, REPORTED, GRAM = 400, 200, 32
@@ -87,10 +87,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = (length,) if reported is None else (length, reported)
     gram = min(GRAM, *windows)
     record = A.record_type("u1", gram, windows)
-    sent = materialise(A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=False), "runs")
-    settled = sent.where(F.col("kind") == A.SPANS)
-    flags = materialise(A.judged(sent, windows, shards, chunks, parts, False, group).unionByName(settled), "judged")
-    discard(sent)
+    sent = A.sampled(docs, _units, gram, windows, shards, chunks, earlier_only=False)
+    flags = materialise(A.judged(sent, windows, shards, chunks, parts, False, group), "judged")
     found = A.resolved(A.contexts(docs, flags, _read, record, windows, shards, chunks, parts), record, family_marks, windows, shards, chunks, parts, False, group)
 
     def cut(ids, data, offsets, spans) -> pa.RecordBatch:
