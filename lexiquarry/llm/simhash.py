@@ -9,7 +9,8 @@ parity differs, which tells the two roles apart. Rows that share a key are verif
 Similarity of word shingles at a threshold such as 0.8 leaves fingerprints too far apart for 4 bits. ``representatives``
 therefore takes keys of two kinds: Golay keys of fingerprints of the set of words, which a few changed words hardly move,
 and keys of min-wise samples of the shingles, which two texts share with a probability that depends on the similarity of
-their shingles alone, whatever was edited (``recall``). Links are settled by the texts' shingles themselves.
+their shingles alone, whatever was edited (``recall``). What meets is passed on as groups, a row a member, and each group
+is settled where it lies by the shingles of its members' texts: all pairs of it count, but only trees of links leave it.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ BANDS, DEEP = 16, 4
 #: Numerator and denominator of the least similarity of a link.
 LEAST = (4, 5)
 #: Bits of four shingle fingerprints in which a pair of a min-wise key may differ to be looked at: 0.8 leaves 38.8 of 256
-#: different on average with a deviation of 5.7. Up to SURE bits, members of large buckets are taken as one group.
-SURE_BITS, FAR_BITS, LARGE_BUCKET = 16, 66, 64
+#: different on average with a deviation of 5.7. In buckets over LARGE_BUCKET, groups are found without making their pairs.
+FAR_BITS, LARGE_BUCKET = 66, 64
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -265,36 +266,29 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _large_bucket(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: a tree of each group of surely similar members, and all pairs between groups that may be similar."""
-    group, rest, left, right = np.zeros(len(prints), dtype=np.int64), np.arange(len(prints)), [], []
+    """Pairs of places: a tree of each group of members that may be similar, by way of others or not."""
+    rest, left, right = np.arange(len(prints)), [], []
     while len(rest):
-        queue, number, rest = [rest[0]], rest[0], rest[1:]
-        group[number] = number
+        queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             one = queue.pop()
-            hit = _apart(prints[rest], prints[one]) <= SURE_BITS
+            hit = _apart(prints[rest], prints[one]) <= FAR_BITS
             found, rest = rest[hit], rest[~hit]
-            group[found] = number
             left.append(np.full(len(found), one))
             right.append(found)
             queue.extend(found.tolist())
-    for i in range(len(prints) if (group != group[0]).any() else 0):
-        others = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        found = others[_apart(prints[others], prints[i]) <= FAR_BITS]
-        left.append(np.full(len(found), i))
-        right.append(found)
     none = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _bucket_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(key: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(begin, len(key)))
     left, right = [], []
     for s, n in zip(begin[size > LARGE_BUCKET], size[size > LARGE_BUCKET]):
         a, b = _large_bucket(prints[s : s + n])
-        left.append(node[s + a])
-        right.append(node[s + b])
+        left.append(s + a)
+        right.append(s + b)
     begin, size = begin[(size > 1) & (size <= LARGE_BUCKET)], size[(size > 1) & (size <= LARGE_BUCKET)]
     at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     end, step = np.repeat(begin + size, size), 1
@@ -302,21 +296,43 @@ def _bucket_pairs(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tupl
         keep = at + step < end
         at, end = at[keep], end[keep]
         hit = _apart(prints[at], prints[at + step]) <= FAR_BITS
-        left.append(node[at[hit]])
-        right.append(node[at[hit] + step])
+        left.append(at[hit])
+        right.append(at[hit] + step)
         step += 1
     none = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def _joined(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least place that each of n places is joined to."""
+    label = np.arange(n)
+    while True:
+        before, least = label.copy(), np.minimum(label[left], label[right])
+        np.minimum.at(label, left, least)
+        np.minimum.at(label, right, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _named(group: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Groups of two or more by a hash of their members, so that a group that meets under many keys is one."""
+    order = np.argsort(group, kind="stable")
+    group, node = group[order], node[order]
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(begin, len(group)))
+    name = mix(np.add.reduceat(mix(node.view(np.uint64)), begin)).view(np.int64)
+    keep = np.repeat(size > 1, size)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep]), pa.array(node[keep])], ["group", "node"])
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their keys to pairs of nodes of a key that may be similar."""
+    """Rows in order of their keys to the members of each group of nodes of a key that may be similar."""
     held: list[np.ndarray] | None = None
 
-    def pairs(key: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
-        a, b = _bucket_pairs(key, node, np.stack(prints, axis=1).view(np.uint64))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    def groups(key: np.ndarray, node: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
+        a, b = _bucket_pairs(key, np.stack(prints, axis=1).view(np.uint64))
+        return _named(_joined(len(key), a, b), node)
 
     for batch in batches:
         if not batch.num_rows:
@@ -326,55 +342,112 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         held = [x[cut:] for x in rows]
         if cut:
-            yield pairs(*(x[:cut] for x in rows))
+            yield groups(*(x[:cut] for x in rows))
     if held is not None:
-        yield pairs(*held)
+        yield groups(*held)
 
 
-def min_wise_pairs(rows: DataFrame) -> DataFrame:
-    """(node, prints, keys) to pairs (a, b) of nodes that share a key and may be similar."""
+def min_wise_groups(rows: DataFrame) -> DataFrame:
+    """(node, prints, keys) to (group, node): nodes that share a key and may be similar are in a group together. A node has
+    at most a row for each of its keys, whatever the size of the groups."""
     once = rows.groupBy("node").agg(F.first("prints").alias("p"), F.first("keys").alias("k"))
     keyed = once.select(F.explode("k").alias("key"), "node", *(F.col("p")[i].alias(f"p{i}") for i in range(4)))
-    return keyed.repartition(parts_for(rows), "key").sortWithinPartitions("key", "node").mapInArrow(_met, "a long, b long")
+    return keyed.repartition(parts_for(rows), "key").sortWithinPartitions("key", "node").mapInArrow(_met, "group long, node long")
 
 
-def golay_pairs(rows: DataFrame) -> DataFrame:
-    """(node, fp, probe_a, probe_b) to pairs (a, b) of nodes of near or equal fingerprints, as stars."""
-    of_fp = rows.groupBy("fp").agg(F.min("node").alias("node"))
-    near = links(rows.select("fp", "probe_a", "probe_b").distinct(), SIMILAR_BITS, ("probe_a", "probe_b")).distinct()
-    near = near.join(of_fp.toDF("a", "na"), "a").join(of_fp.toDF("b", "nb"), "b").select("na", "nb")
-    equal = rows.join(of_fp.toDF("fp", "least"), "fp").where("node <> least").select("least", "node")
-    return near.union(equal).toDF("a", "b")
+def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            both = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1)
+            yield _named(np.repeat(np.arange(len(both)), 2), both.ravel())
 
 
-def shingles(text: bytes) -> set[bytes]:
-    words = text.split()
-    return {b" ".join(words[i : i + SIMILAR_SHINGLE]) for i in range(max(1, len(words) - SIMILAR_SHINGLE + 1))}
+def golay_groups(rows: DataFrame) -> DataFrame:
+    """(node, fp, probe_a, probe_b, prints, keys) to (group, node): pairs of nodes of near or equal fingerprints, as stars, less
+    those that a min-wise key has in a group already."""
+    one = F.struct("node", "prints", "keys")
+    of_fp = rows.groupBy("fp").agg(F.min(one).alias("one"))
+    near = links(rows.select("fp", "probe_a", "probe_b").distinct(), SIMILAR_BITS, ("probe_a", "probe_b")).distinct()
+    near = near.join(of_fp.toDF("a", "x"), "a").join(of_fp.toDF("b", "y"), "b").select("x", "y")
+    equal = rows.select("fp", one.alias("y")).join(of_fp.toDF("fp", "x"), "fp").where("x.node <> y.node").select("x", "y")
+    apart = sum(F.bit_count(F.col("x.prints")[i].bitwiseXOR(F.col("y.prints")[i])) for i in range(4))
+    met = F.arrays_overlap("x.keys", "y.keys") & (apart <= FAR_BITS)
+    pairs = near.union(equal).where(~met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs.mapInArrow(_twos, "group long, node long")
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, shingles): the set of XXH64 of the text's shingles, ascending."""
+    for piece, data, offsets in slices(batches, "text"):
+        made = [np.unique(shingle_hashes(plain(data[s:e].tobytes()), SIMILAR_SHINGLE)).tobytes() for s, e in zip(offsets, offsets[1:])]
+        yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
+
+
+def _forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, each LEAST similar or more: a tree of each group that all such pairs make. Every set is held against
+    all that no tree has yet, so that none of those pairs leads out of its tree."""
+    size = np.array([len(s) for s in sets])
+    begin = np.cumsum(size) - size
+    shingle, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code, of = code.astype(np.int32), np.repeat(np.arange(len(size), dtype=np.int32), size)
+    has, waits, rest, left, right = np.zeros(len(shingle), dtype=bool), np.ones(len(size), dtype=bool), np.arange(len(size)), [], []
+    shared = np.bincount(code, minlength=len(shingle))[code] > 1
+    open_code, open_of, opened = code[shared], of[shared], len(size)
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        waits[queue[0]] = False
+        while queue and len(rest):
+            one = queue.pop()
+            if 4 * len(rest) < 3 * opened:
+                still = waits[open_of]
+                open_code, open_of, opened = open_code[still], open_of[still], len(rest)
+            own = code[begin[one] : begin[one] + size[one]]
+            has[own] = True
+            both = np.bincount(open_of[has[open_code]], minlength=len(size))[rest]
+            has[own] = False
+            hit = both * LEAST[1] >= (size[rest] + size[one] - both) * LEAST[0]
+            found, rest = rest[hit], rest[~hit]
+            waits[found] = False
+            left.append(np.full(len(found), one))
+            right.append(found)
+            queue.extend(found.tolist())
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, have = None, set()
+    """Rows in order of their groups to links of nodes: a group has fewer than members."""
+    now, nodes, sets = None, [], []
+
+    def links() -> tuple[np.ndarray, np.ndarray]:
+        node, (a, b) = np.array(nodes, dtype=np.int64), _forest(sets)
+        return node[a], node[b]
+
     for batch in batches:
-        a, b, left, right = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-        keep = []
-        for i, node in enumerate(a.to_pylist()):
-            if node != now:
-                now, have = node, shingles(plain(left[i].as_py().encode()))
-            other = shingles(plain(right[i].as_py().encode()))
-            both = len(have & other)
-            keep.append(both * LEAST[1] >= (len(have) + len(other) - both) * LEAST[0])
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
-
-
-def similar(pairs: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingles, read from the texts, are LEAST similar or more."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+        found = []
+        for group, node, raw in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")):
+            if group != now:
+                if len(nodes) > 1:
+                    found.append(links())
+                now, nodes, sets = group, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+    if len(nodes) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links()], ["a", "b"])
+
+
+def similar(groups: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(group, node) to links (a, b), whose shingles, read from the texts, are LEAST similar or more: their transitive closure
+    is that of all such pairs of a group, though they are fewer than its members."""
+    groups = materialise(groups.distinct(), "groups")
+    ends = groups.select("node").distinct()
     chosen = rows.join(ends, "node").groupBy("node").agg(F.min("tie").alias("tie"))
-    read = materialise(fresh.select("tie", "text").join(chosen, "tie").dropDuplicates(["node"]).select("node", "text"), "ends")
-    met = pairs.join(read.toDF("b", "text_b"), "b").join(read.toDF("a", "text_a"), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
+    read = fresh.select("tie", "text").join(chosen, "tie").dropDuplicates(["node"]).select("node", "text")
+    read = materialise(read.mapInArrow(_shingled, "node long, shingles binary"), "ends")
+    met = groups.join(read, "node").select("group", "node", "shingles")
+    return met.repartition(parts_for(rows), "group").sortWithinPartitions("group").mapInArrow(_similar, "a long, b long")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -382,7 +455,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similar or more: the smallest id's (rows without an id come last), of its rows the one of the least text hash."""
     fresh = texts(df, id_col, text_col, keep).withColumn("tie", F.xxhash64("text"))
     rows = materialise(prints_and_keys(fresh), "fingerprints")
-    roots = components(similar(min_wise_pairs(rows).union(golay_pairs(rows)), rows, fresh))
+    roots = components(similar(min_wise_groups(rows).union(golay_groups(rows)), rows, fresh))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_tie"))

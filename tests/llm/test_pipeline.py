@@ -128,3 +128,35 @@ def test_equal_fingerprints_are_not_enough(spark):
     assert len({simhash.majority(simhash.shingle_hashes(r[1].encode(), simhash.SIMILAR_SHINGLE)) for r in rows}) == 1
     kept = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3]
+
+
+def test_large_groups_stay_linear(spark, monkeypatch):
+    """Many near copies of one text, some linked only by way of others, some not at all: all groups, but no square of rows."""
+    rng, base = np.random.default_rng(11), text(77, ENGLISH, 120).split()
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.choice(120, 1 + i % 9, replace=False):
+            words[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(words), None, None, 1))
+    group = list(range(240))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    for i in range(240):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {min(i for i in range(240) if group[i] == g) for g in set(group)}
+    assert 40 < len(least) < 200
+
+    made, write = {}, simhash.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    monkeypatch.setattr(simhash, "components", lambda edges, found=simhash.components: found(counted(edges, "links")))
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least)
+    assert made["links"] <= 1500 and max(made.values()) <= simhash.BANDS * 240 + 1000, made
