@@ -119,40 +119,56 @@ def clicks(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(b, "round").select("round", "pair_id", ((F.col("pair_id") == F.col("_p")) & (F.col("side") != F.col("_s"))).alias("matched"))
 
 
-#: Options of a group that may meet by one word alone, and frequent words of an option that are taken in all combinations.
+#: Options of a group that may meet by one word alone, and frequent words of a set that are taken in all combinations.
 FREQUENT, COMBINED = 64, 8
 
 
 def overlaps(options: DataFrame, by: list[str], most: int = 6, frequent: int = FREQUENT, combined: int = COMBINED) -> DataFrame:
     """(by, id, text) to each option's ``most`` others that share words of over two letters: by, id, other, shared, rank.
 
-    Options meet by a word that at most ``frequent`` of their group have. Of those that share frequent words alone, all of a
-    set S, only the least ids that have S can be among the best: others that have S share as much and come first. So each
-    combination of an option's frequent words needs the ``most`` + 1 least ids that have it, not all. An option of more
-    than ``combined`` frequent words meets the others by each of them.
+    Options meet by a word that at most ``frequent`` of their group have. What they share of frequent words depends on
+    their sets of such words alone, so it is found a set at a time: of the options with one set only the ``most`` + 1
+    least ids can be among another's best. Of those that share just S with a set only the least ids that have S can, so
+    each combination of a set's words needs the ``most`` + 1 least ids that have it, not all. A set of more than
+    ``combined`` frequent words meets the other sets by each of them.
+
+    Joins are merges: sizes that are guessed from packed files would let whole tables be broadcast.
     """
     words = F.array_distinct(F.filter(F.split(T.normalize_key(F.col("text")), " "), lambda w: F.length(w) > 2))
-    sets = options.select(*by, "id", words.alias("words"))
-    tokens = sets.select(*by, "id", F.explode("words").alias("token"))
-    common = tokens.groupBy(*by, "token").agg(F.count("*").alias("many")).where(F.col("many") > frequent).drop("many")
+    tokens = options.select(*by, "id", F.explode(words).alias("token"))
+    common = tokens.groupBy(*by, "token").agg(F.count("*").alias("many")).where(F.col("many") > frequent).drop("many").hint("merge")
     rare, often = tokens.join(common, [*by, "token"], "left_anti"), tokens.join(common, [*by, "token"], "left_semi")
-    meet = lambda a, b: a.join(b.withColumnRenamed("id", "other"), [*by, "token"]).where("id <> other").select(*by, "id", "other")
     held = often.groupBy(*by, "id").agg(F.array_sort(F.collect_set("token")).alias("held"))
-    few, many = held.where(F.size("held") <= combined), held.where(F.size("held") > combined)
+
+    def least(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, *key).orderBy("id"))).where(F.col("_n") <= most + 1).drop("_n")
+
+    first = least(held, "held")  # (by, held, id): all that other sets need
+    few, many = first.where(F.size("held") <= combined), first.where(F.size("held") > combined)
     chosen = lambda mask: F.filter("held", lambda w, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
-    keys = lambda rows: rows.select(*by, "id", F.explode(F.transform(F.sequence(F.lit(1), F.expr("shiftleft(1, size(held)) - 1")), lambda m: F.array_join(chosen(m), " "))).alias("token"))
+    masks = F.sequence(F.lit(1), F.expr("shiftleft(1, size(held)) - 1"))
+    keys = lambda rows, *more: rows.select(*by, *more, "held", F.explode(F.transform(masks, lambda m: F.array_join(chosen(m), " "))).alias("token"))
     # every option that has the combination counts, also one whose frequent words are too many to combine
-    asked = keys(few).select(*by, "token").distinct().withColumn("first", F.split("token", " ")[0])
-    rest = asked.join(many.select(*by, "id", "held", F.explode("held").alias("first")), [*by, "first"])
-    rest = rest.where(F.forall(F.split("token", " "), lambda w: F.array_contains("held", w))).select(*by, "id", "token")
-    having = keys(few).union(rest)
-    least = having.withColumn("n", F.row_number().over(Window.partitionBy(*by, "token").orderBy("id"))).where(F.col("n") <= most + 1).drop("n")
-    long = many.select(*by, "id", F.explode("held").alias("token"))
-    pairs = meet(rare, rare).union(meet(keys(few), least)).union(meet(long, often)).distinct()
-    both = pairs.join(sets, [*by, "id"]).join(sets.select(*by, F.col("id").alias("other"), F.col("words").alias("others")), [*by, "other"])
-    shared = both.select(*by, "id", "other", F.size(F.array_intersect("words", "others")).cast("long").alias("shared"))
+    asked = keys(few.select(*by, "held").distinct())
+    wanted = asked.select(*by, "token").distinct().withColumn("first", F.split("token", " ")[0])
+    rest = wanted.join(many.select(*by, "id", "held", F.explode("held").alias("first")).hint("merge"), [*by, "first"])
+    rest = rest.where(F.forall(F.split("token", " "), lambda w: F.array_contains("held", w))).select(*by, "id", "held", "token")
+    other = lambda rows: rows.select(*by, "token", F.col("id").alias("other"), F.col("held").alias("others")).hint("merge")
+    long = many.select(*by, "held").distinct().select(*by, "held", F.explode("held").alias("token"))
+    met = asked.join(other(least(keys(few, "id").unionByName(rest), "token")), [*by, "token"])
+    met = met.unionByName(long.join(other(first.select(*by, "id", "held", F.explode("held").alias("token"))), [*by, "token"]))
+    common_to = F.size(F.array_intersect("held", "others")).cast("long")
+    met = met.select(*by, "held", "other", common_to.alias("shared")).distinct()
+    best = Window.partitionBy(*by, "held").orderBy(F.desc("shared"), "other")
+    near = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most + 1).drop("_n")
+    pairs = held.join(near.hint("merge"), [*by, "held"]).where("id <> other").select(*by, "id", "other", "shared")
+    # by rare words, with what such options share of the frequent ones
+    close = rare.join(rare.select(*by, "token", F.col("id").alias("other")).hint("merge"), [*by, "token"]).where("id <> other").groupBy(*by, "id", "other").agg(F.count("*").alias("n"))
+    close = close.join(held.hint("merge"), [*by, "id"], "left").join(held.select(*by, F.col("id").alias("other"), F.col("held").alias("others")).hint("merge"), [*by, "other"], "left")
+    close = close.select(*by, "id", "other", (F.col("n") + F.coalesce(F.when(F.col("held").isNotNull() & F.col("others").isNotNull(), common_to), F.lit(0))).alias("shared"))
+    every = pairs.unionByName(close).groupBy(*by, "id", "other").agg(F.max("shared").alias("shared"))
     n = F.row_number().over(Window.partitionBy(*by, "id").orderBy(F.desc("shared"), "other"))
-    return shared.withColumn("rank", n).where(F.col("rank") <= most)
+    return every.withColumn("rank", n).where(F.col("rank") <= most)
 
 
 def weak_first(cards: DataFrame, seed: int = 1) -> DataFrame:

@@ -27,4 +27,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table, small in bytes, that one task is given where each is much work.
+TASK_ROWS, LEAST_ROWS = 8192, 512
+
+
+def pieces(table: DataFrame) -> int:
+    """Partitions for a table whose rows are much work: they grow with its rows, which the files' footers tell, as bytes don't."""
+    rows, usual = table.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // TASK_ROWS), min(usual, -(-rows // LEAST_ROWS)))
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    return table.repartition(pieces(table), key)
+
+
 from lexiquarry.plans import documents, library, papers  # noqa: E402, F401

@@ -323,3 +323,11 @@ def test_overlaps_by_definition(spark, frequent, combined):
         want |= {(g, i, j, -n, rank) for rank, (n, j) in enumerate(near, 1)}
     got = quiz.overlaps(spark.createDataFrame(rows, "grp string, id int, text string"), ["grp"], frequent=frequent, combined=combined)
     assert {tuple(r) for r in got.select("grp", "id", "other", "shared", "rank").collect()} == want
+
+
+def test_overlaps_broadcast_nothing(spark, tmp_path):
+    """Sizes that are guessed from small files must not make the driver hold whole tables."""
+    rows = [("a", i, f"red{i % 3} blue{i % 5}") for i in range(200)]
+    spark.createDataFrame(rows, "grp string, id int, text string").write.parquet(str(tmp_path / "t"))
+    made = quiz.overlaps(spark.read.parquet(str(tmp_path / "t")), ["grp"], frequent=3)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
