@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from lexiquarry.functions.lazy import vectorised
 
@@ -16,6 +17,22 @@ def key_of(text: str | None) -> str | None:
     return " ".join(re.sub(r"[^a-z0-9\s]", " ", flat).split())
 
 
+#: Powers of 33 modulo 2**32, the highest first, for a piece of a text.
+POWERS = np.cumprod(np.full(1 << 16, 33, np.uint32), dtype=np.uint32)[::-1].copy()
+
+
+def djb2(text: str | None) -> str | None:
+    """djb2 over UTF-16 units modulo 2**32, in base 36; as ``text.hash_id``, a piece of a long text at a time."""
+    if text is None:
+        return None
+    units, h = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32), 5381
+    for i in range(0, len(units), len(POWERS)):
+        piece = units[i : i + len(POWERS)]
+        powers = POWERS[len(POWERS) - len(piece) :]
+        h = (h * int(powers[0]) + int((piece[:-1] * powers[1:]).sum(dtype=np.uint32)) + int(piece[-1])) & 0xFFFFFFFF
+    return np.base_repr(h, 36).lower()
+
+
 def answer_of(text: str | None) -> str:
     return re.sub(r"^(?:a|an|the)\s+", "", key_of(text) or "")
 
@@ -77,6 +94,11 @@ def normalize_key(c: pd.Series) -> pd.Series:
     return c.map(key_of)
 
 
+@vectorised("string")
+def hash_id(c: pd.Series) -> pd.Series:
+    return c.map(djb2)
+
+
 @vectorised("int")
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x or "", y or "") for x, y in zip(a, b)])

@@ -148,7 +148,7 @@ def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda h, c: (h * 33 + c) % 4294967296), 36) AS id FROM documents
 """)
 def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.upper(T.hash_id(F.col("text"))).alias("id"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.upper(python.hash_id(F.col("text"))).alias("id"))
 
 
 @query(f"""
