@@ -230,13 +230,15 @@ def score_claim(sentence: Column, section: Column) -> Column:
 def trim_doi(c: Column) -> Column:
     """Takes off what ends a sentence but not a DOI: . , ; : and brackets without a partner, until none is left."""
 
+    count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
+
+    def bare(cut: Column, opening: str, closing: str) -> Column:
+        lone = cut.endswith(closing) & (count(cut, closing) > count(cut, opening))
+        return F.when(lone, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+
     def step(acc: Column, _: Column) -> Column:
-        cut = F.regexp_replace(acc, r"[.,;:]+$", "")
-        for opening, closing in (("(", ")"), ("[", "]")):
-            count = lambda x, ch: F.length(x) - F.length(F.replace(x, F.lit(ch), F.lit("")))
-            lone = cut.endswith(closing) & (count(cut, closing) > count(cut, opening))
-            cut = F.when(lone, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-        return cut
+        cut = let(F.regexp_replace(acc, r"[.,;:]+$", ""), lambda x: let(bare(x, "(", ")"), lambda y: bare(y, "[", "]")))
+        return F.when(acc.rlike(r"[.,;:)\]]$"), cut).otherwise(acc)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), F.trim(c), step)
 
