@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import markdown
 from lexiquarry.functions import text as T
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once a row: filters go below a projection with copies of what they test, and below each
+    other, but not below a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def parse_documents(df: DataFrame, id_col: str = "doc_id", markdown_col: str = "markdown") -> DataFrame:
     """(doc_id, title, meta, blocks): parsed once; everything else is a view of it."""
     return df.select(F.col(id_col).alias("doc_id"), markdown.parsed(F.col(markdown_col)).alias("d")).select("doc_id", "d.*")

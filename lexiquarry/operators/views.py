@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import text as T
-from lexiquarry.functions.lazy import vectorised
+from lexiquarry.functions.lazy import FEW, vectorised
+from lexiquarry.operators import blocks as B
 
 MAX_CLAIMS, MAX_NUMBERS, MAX_SKIM_NUMBERS = 40, 300, 8
 AVAILABILITY = r"(?i)(data|code|software|materials?)\s+availability|availability of (data|code)|accession (codes?|numbers?)"
@@ -28,7 +29,7 @@ def sentences(blocks: DataFrame) -> DataFrame:
 
 def claims(rows: DataFrame, most: int = MAX_CLAIMS) -> DataFrame:
     """(doc_id, pos, s, part, sentence) to each document's strongest claims: by score, then place; each text once."""
-    scored = rows.withColumn("c", T.score_claim(F.col("sentence"), F.col("part"))).where("c is not null")
+    scored = B.once(rows, c=T.score_claim(F.col("sentence"), F.col("part"))).where("c is not null")
     best = scored.groupBy("doc_id", "sentence").agg(F.max_by(F.struct("part", "c", "pos", "s"), F.struct("c.score", (-F.col("pos")).alias("p"), (-F.col("s")).alias("q"))).alias("b"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos", "s"))
     flat = best.select("doc_id", F.col("sentence").alias("text"), F.col("b.part").alias("section"), "b.c.kind", "b.c.score", "b.c.trigger", "b.pos", "b.s")
@@ -154,7 +155,7 @@ def view_counts(floats_: DataFrame, supplements_: DataFrame, availability_: Data
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@vectorised(f"array<{FLOAT}>")
+@vectorised(f"array<{FLOAT}>", FEW)
 def floats_of(blocks: pd.Series) -> pd.Series:
     return blocks.map(fold_floats)
 
