@@ -331,3 +331,56 @@ def test_overlaps_broadcast_nothing(spark, tmp_path):
     spark.createDataFrame(rows, "grp string, id int, text string").write.parquet(str(tmp_path / "t"))
     made = quiz.overlaps(spark.read.parquet(str(tmp_path / "t")), ["grp"], frequent=3)
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_spread_by_number_not_bytes(spark, tmp_path):
+    """A table of few bytes whose rows are much work goes to as many tasks as its rows ask for."""
+    from lexiquarry.plans import registry
+
+    spark.range(100_000).selectExpr("id as p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    table = registry.read(spark, str(tmp_path), "part")
+    assert registry.pieces(table) == 13
+    assert registry.spread(table, "p_partkey").rdd.getNumPartitions() == 13
+
+
+def test_results_are_made_a_few_rows_at_a_time():
+    """Python holds the results of some rows, not of a whole batch."""
+    import pandas as pd
+
+    from lexiquarry.functions import lazy
+
+    seen = []
+    run = lazy.sliced(lambda c: seen.append(len(c)) or c, "string", 1, 4)
+    out = list(run(iter([pd.Series(list("abcdefghij")), pd.Series([], dtype=object)])))
+    assert seen == [4, 4, 2] and "".join(pd.concat(out)) == "abcdefghij"
+
+
+def test_columns_made_once_stay_below_no_filter(spark):
+    """A filter takes no copy of a column that is made once."""
+    from pyspark.sql import functions as F
+
+    from lexiquarry.operators import blocks as B
+
+    made = B.once(spark.range(9), x=F.sha2(F.col("id").cast("string"), 256)).where("x > 'a'")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
+def test_hash_of_long_texts():
+    from lexiquarry.functions.python import djb2
+
+    for text in ("", "a", "x\U0001f600é", "lorem ipsum " * 20_000):
+        h, raw = 5381, text.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h * 33 + int.from_bytes(raw[i : i + 2], "big")) & 0xFFFFFFFF
+        assert int(djb2(text), 36) == h
+
+
+def test_layout_takes_no_group_of_pandas(spark):
+    from pyspark.sql import functions as F
+
+    from lexiquarry.functions import layout
+
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A Title of it").alias("text"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(10.0).alias("height"), F.lit(False).alias("bold"), F.lit(60.0).alias("width"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"))
+    made = layout.documents(rows)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r["title"] for r in made.collect()} == {"A Title of it"}
