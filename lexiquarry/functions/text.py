@@ -216,15 +216,23 @@ def find_numbers(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: ~year(x)))
 
 
+def strongest_claim(sentence: Column) -> Column:
+    """struct(base, kind, trigger) of a sentence that makes a claim, else null. Patterns are tried from the highest base down,
+    the first of equals first, so that none is tried after the one that wins."""
+    text = F.trim(sentence)
+    best = F
+    for p, kind, base in sorted(CLAIMS, key=lambda claim: -claim[2]):
+        best = best.when(text.rlike(f"(?i){p}"), F.struct(F.lit(base).alias("base"), F.lit(kind).alias("kind"), F.regexp_extract(text, f"(?i){p}", 0).alias("trigger")))
+    able = F.length(text).between(40, 400) & ~text.rlike(r"(?i)^(table|figure|fig\.|equation)\b")
+    return F.when(able, best)
+
+
 def score_claim(sentence: Column, section: Column) -> Column:
     """struct(kind, score, trigger) of a sentence that makes a claim, else null."""
     text = F.trim(sentence)
-    found = [F.struct(F.lit(base).alias("base"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"), F.regexp_extract(text, f"(?i){p}", 0).alias("trigger")) for i, (p, kind, base) in enumerate(CLAIMS)]
-    best = F.array_max(F.filter(F.array(*found), lambda x: x["trigger"] != ""))
-    able = F.length(text).between(40, 400) & ~text.rlike(r"(?i)^(table|figure|fig\.|equation)\b")
-    score = best["base"] + F.least(F.lit(3), F.regexp_count(text, F.lit(MEASUREMENT))) - F.when(text.rlike(HEDGE), 3).otherwise(0)
-    score = score + F.when(section.rlike("(?i)^(results|discussion|conclusion|abstract)"), 1).otherwise(0)
-    return F.when(able & best.isNotNull(), F.struct(best["kind"].alias("kind"), score.alias("score"), best["trigger"].alias("trigger")))
+    more = F.least(F.lit(3), F.regexp_count(text, F.lit(MEASUREMENT))) - F.when(text.rlike(HEDGE), 3).otherwise(0)
+    more = more + F.when(section.rlike("(?i)^(results|discussion|conclusion|abstract)"), 1).otherwise(0)
+    return let(strongest_claim(sentence), lambda best: F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), (best["base"] + more).alias("score"), best["trigger"].alias("trigger"))))
 
 
 def trim_doi(c: Column) -> Column:

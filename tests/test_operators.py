@@ -365,6 +365,16 @@ def test_columns_made_once_stay_below_no_filter(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
 
 
+@pytest.mark.parametrize("name", ["claim_counts", "claims_top40"])
+def test_claims_are_looked_for_once(spark, name):
+    """A pattern of claims is tried once a sentence and read once where it wins, not in each place that uses the claim."""
+    from lexiquarry.functions import text as T
+    from lexiquarry.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert {plan.count(pattern) for pattern, _, _ in T.CLAIMS} == {2}
+
+
 def test_hash_of_long_texts():
     from lexiquarry.functions.python import djb2
 
